@@ -261,9 +261,9 @@ def bfs_sql(config: TraversalConfig, seeds: str) -> str:
 def _bfs_query(name: str, config: TraversalConfig, seeds: dict[int, tuple[int, ...]] = _SEEDS) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = ring(spark, sf_dir)
-        return bfs(g.nodes, g.edges, _seeds(spark, seeds), config).withColumn("path_weight", r6(F.col("path_weight"))).withColumn("path_edge_id", F.coalesce("path_edge_id", F.lit(-1)))
+        return bfs(g.nodes, g.edges, _seeds(spark, seeds), config).withColumn("path_weight", F.round("path_weight", 9)).withColumn("path_edge_id", F.coalesce("path_edge_id", F.lit(-1)))
 
-    _query(name, f"select query_id, node_id, rank, depth, round(path_weight, 6) as path_weight, coalesce(path_edge_id, -1) as path_edge_id from ({bfs_sql(config, _seeds_sql(seeds))})")(run)
+    _query(name, f"select query_id, node_id, rank, depth, round(path_weight, 9) as path_weight, coalesce(path_edge_id, -1) as path_edge_id from ({bfs_sql(config, _seeds_sql(seeds))})")(run)
 
 
 _bfs_query("bfs_out_d1", TraversalConfig(max_depth=1))
@@ -294,13 +294,13 @@ def _no_edge():
     return F.coalesce("path_edge_id", F.lit(-1)).alias("path_edge_id")
 
 
-_SCORED = "query_id, node_id, round(final_score, 6) as final_score, round(vector_score, 6) as vector_score, round(graph_score, 6) as graph_score, depth, rank, coalesce(path_edge_id, -1) as path_edge_id, place"
+_SCORED = "query_id, node_id, round(final_score, 9) as final_score, round(vector_score, 9) as vector_score, round(graph_score, 9) as graph_score, depth, rank, coalesce(path_edge_id, -1) as path_edge_id, place"
 
 
 def _scored(spark: SparkSession, sf_dir: str, scoring: HybridScoreConfig) -> DataFrame:
     g = ring(spark, sf_dir)
     rows = hybrid_scores(_seeds(spark), bfs(g.nodes, g.edges, _seeds(spark), _TRAVERSE), scoring)
-    return rows.select("query_id", "node_id", *[r6(F.col(c)).alias(c) for c in ("final_score", "vector_score", "graph_score")], "depth", "rank", _no_edge(), F.col("place").cast("long").alias("place"))
+    return rows.select("query_id", "node_id", *[F.round(c, 9).alias(c) for c in ("final_score", "vector_score", "graph_score")], "depth", "rank", _no_edge(), F.col("place").cast("long").alias("place"))
 
 
 _query("hybrid_score", f"select {_SCORED} from ({_scored_sql(HybridScoreConfig(min_score=0.0))})")(lambda s, d: _scored(s, d, HybridScoreConfig(min_score=0.0)))
@@ -330,7 +330,7 @@ _RING_CONFIG = EngineConfig(dim=64, quantization=Quantization.NONE, min_edge_wei
 def retrieve_seed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([(q, f" vec_{n} ", i) for q, ns in _NAMED.items() for i, n in enumerate(ns)] + [(1, "unknown", 9)], "query_id long, name string, pos int")
     found = Engine(ring(spark, sf_dir), _RING_CONFIG).retrieve_by_names(names).scored_entities
-    return found.select("query_id", "node_id", *[r6(F.col(c)).alias(c) for c in ("final_score", "vector_score", "graph_score")], "depth", "rank", _no_edge(), F.col("place").cast("long").alias("place"))
+    return found.select("query_id", "node_id", *[F.round(c, 9).alias(c) for c in ("final_score", "vector_score", "graph_score")], "depth", "rank", _no_edge(), F.col("place").cast("long").alias("place"))
 
 
 # budget and rendering ----------------------------------------------------------------
@@ -520,7 +520,7 @@ _KNN_SEEDS = f"(select query_id, node_id, score, pos from ({_knn_sql(Metric.COSI
 @_query("retrieve_scored", f"select {_SCORED} from ({_scored_sql(_HYBRID, TraversalConfig(2, 0.2, 100), _KNN_SEEDS)})")
 def retrieve_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _retrieved(spark, sf_dir).scored_entities
-    return found.select("query_id", "node_id", *[r6(F.col(c)).alias(c) for c in ("final_score", "vector_score", "graph_score")], "depth", "rank", _no_edge(), F.col("place").cast("long").alias("place"))
+    return found.select("query_id", "node_id", *[F.round(c, 9).alias(c) for c in ("final_score", "vector_score", "graph_score")], "depth", "rank", _no_edge(), F.col("place").cast("long").alias("place"))
 
 
 @_query("retrieve_markdown")
