@@ -52,14 +52,14 @@ def test_eight_bit_codes(spark):
 
 
 def test_knn_small(spark):
-    vectors = spark.createDataFrame([(1, [1.0, 0, 0, 0]), (2, [0.0, 1, 0, 0]), (3, [0.9, 0.1, 0, 0])], "node_id long, embedding array<float>")
-    queries = spark.createDataFrame([(0, [1.0, 0, 0, 0])], "query_id long, embedding array<float>")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0]), (3, [0.9, 0.1, 0.0, 0.0])], "node_id long, embedding array<float>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], "query_id long, embedding array<float>")
     assert [r.node_id for r in knn(vectors, queries, 2).orderBy("pos").collect()] == [1, 3]
     assert knn(vectors, queries, 9).count() == 3
     assert knn(vectors, queries, 0).count() == 0
     with pytest.raises(DimensionMismatch):
         knn(vectors, queries, 1, dim=5)
-    line = spark.createDataFrame([(1, [0.0, 0]), (2, [0.0, 3]), (3, [0.0, 10])], "node_id long, embedding array<float>")
+    line = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 3.0]), (3, [0.0, 10.0])], "node_id long, embedding array<float>")
     origin = spark.createDataFrame([(0, [0.0, 0.0])], "query_id long, embedding array<float>")
     assert [r.score for r in knn(line, origin, 3, Metric.EUCLIDEAN).orderBy("pos").collect()] == [0.0, 3.0, 10.0]
 
