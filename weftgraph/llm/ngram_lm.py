@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -343,7 +344,7 @@ def _scores(order: int, totals: Totals):
     return run
 
 
-def kneser_ney(docs: DataFrame, train: Column, order: int = 3, id_column: str = "doc_id", text_column: str = "text", chunk_tokens: int = 1_500_000, shard_keys: int = 2_000_000) -> tuple[DataFrame, dict[int, DataFrame]]:
+def kneser_ney(docs: DataFrame, train: Column, order: int = 3, id_column: str = "doc_id", text_column: str = "text", chunk_tokens: int = 1_000_000, shard_keys: int = 1_500_000) -> tuple[DataFrame, dict[int, DataFrame]]:
     """(scores, model): scores of every row of docs, by a model of the rows where train holds.
 
     scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
@@ -356,7 +357,13 @@ def kneser_ney(docs: DataFrame, train: Column, order: int = 3, id_column: str =
     that unigrams leave, as one more word.
     """
     spark: SparkSession = docs.sparkSession
-    chunks = saved(chunk_rows(docs, train, id_column, text_column, chunk_tokens), "lm_chunks")
+    # bucketed by chunk, so that answers come to the chunks and those stay where they are
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"lm_chunks_{uuid.uuid4().hex}"
+    made = chunk_rows(docs, train, id_column, text_column, chunk_tokens).repartition(buckets, "chunk")
+    made.write.format("parquet").bucketBy(buckets, "chunk").saveAsTable(name)
+    del made
+    chunks = spark.table(name)
     release(spark)
     tables: dict[int, DataFrame] = {}
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
@@ -383,7 +390,9 @@ def kneser_ney(docs: DataFrame, train: Column, order: int = 3, id_column: str =
         answered = part if answered is None else answered.unionByName(part)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scores = chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(_scores(order, totals), schema)
-    return scores.withColumn("train_tokens", F.lit(totals.train_tokens).cast("long")), {n: t.where("chunk < 0") for n, t in tables.items()}
+    scores = saved(scores.withColumn("train_tokens", F.lit(totals.train_tokens).cast("long")), "lm_scores")
+    spark.sql(f"drop table {name}")
+    return scores, {n: t.where("chunk < 0") for n, t in tables.items()}
 
 
 def _summed(table: DataFrame) -> list[float]:

@@ -97,19 +97,19 @@ class QualityModel:
         place = np.array([(r.id * 2654435761 >> 7) % 4 for r in got], np.int64)
         return cls(Calibrated.fit(x, y, place), len(got))
 
-    def evidence(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
-        """docs with evidence (double): the document classifier's probability of good quality."""
+    def evidence(self, docs: DataFrame, text_column: str = "text", name: str = "evidence") -> DataFrame:
+        """docs with one more column (double): the document classifier's probability of good quality."""
         model = docs.sparkSession.sparkContext.broadcast(self.model)
         names = docs.columns
-        source = docs.withColumn("__text", text_bytes(text_column))
+        source = docs.withColumn("__weft_text", text_bytes(text_column))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = np.array([shape(t) for t in batch.column(len(names)).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
                 p = np.clip(model.value.predict(x), 1e-6, 1 - 1e-6)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p)], names=[*names, "evidence"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p)], names=[*names, name])
 
-        return source.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, evidence double")
+        return source.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{name}` double")
 
 
 def _strength(sites: DataFrame, mean: float, least: float = 2.0, most: float = 10_000.0) -> float:
@@ -139,28 +139,30 @@ def site_posteriors(scored: DataFrame, host: str, path: str) -> tuple[DataFrame,
     return saved(sites.withColumn("kh", F.lit(kh)).withColumn("kp", F.lit(kp)), "sites"), mean
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", host: str = "source", path: str = "lang", label_column: str = "quality", threshold: float = 0.5, sample_rows: int = 20_000, train: Column | None = None) -> DataFrame:
-    """docs with evidence, site (the site's posterior without the document) and quality (their combination), keep.
+def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", host: str = "source", path: str = "lang", label_column: str = "quality", threshold: float = 0.5, sample_rows: int = 20_000, train: Column | None = None, prefix: str = "") -> DataFrame:
+    """docs with evidence, site (the site's posterior without the document), quality (their combination) and keep.
 
     Documents without a host or path form a site of nulls; null and empty texts have
     features of zero; rows that repeat count each; without labels every text has the
-    evidence 0.5 and stays. Names of docs that clash with the added columns are an
-    error. A host with a third of the documents is summed in partial aggregates.
+    evidence 0.5 and stays; an empty table gives no rows. The added columns are named
+    with `prefix`; columns of docs with these names are replaced. A host with a third
+    of the documents is summed in partial aggregates.
     """
-    clash = {"evidence", "site", "quality", "keep", "__text"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"docs already has {sorted(clash)}")
+    added = [prefix + n for n in ("evidence", "site", "quality", "keep")]
     model = QualityModel.fit(docs, labels, id_column, text_column, label_column, sample_rows, train)
-    facts = docs.select(host, path, F.col(text_column).alias("text_")).withColumnRenamed("text_", "text") if text_column not in (host, path) else docs
-    sites, mean = site_posteriors(model.evidence(facts, "text").select(host, path, "evidence"), host, path)
-    scored = model.evidence(docs, text_column)
-    own = F.col("evidence")
-    joined = scored.join(sites, scored[host].eqNullSafe(sites.site_host) & scored[path].eqNullSafe(sites.site_path))
-    up = (F.col("sh") - own + F.col("kh") * F.lit(mean)) / (F.col("nh") - 1 + F.col("kh"))
-    site = (F.col("s") - own + F.col("kp") * up) / (F.col("n") - 1 + F.col("kp"))
-    joined = joined.withColumn("site", site)
-    joined = joined.withColumn("quality", 1 / (1 + F.exp(-(logit(own) - F.lit(float(np.log(mean / (1 - mean)))) + logit(F.col("site"))))))
-    return joined.withColumn("keep", F.col("quality") >= threshold).select(*[scored[c] for c in docs.columns], "evidence", "site", "quality", "keep")
+    facts = docs.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(text_column).alias("text"))
+    sites, mean = site_posteriors(model.evidence(facts, "text", "evidence").select("host", "path", "evidence"), "host", "path")
+    sites = sites.select(F.col("site_host").alias("__weft_host"), F.col("site_path").alias("__weft_path"), F.struct("n", "s", "nh", "sh", "kh", "kp").alias("__weft_site"))
+    # under their own names until the end, so that no column of docs can be taken for them
+    scored = model.evidence(docs, text_column, "__weft_evidence")
+    own, at = F.col("__weft_evidence"), lambda n: F.col("__weft_site")[n]
+    joined = scored.join(sites, F.col(host).eqNullSafe(F.col("__weft_host")) & F.col(path).eqNullSafe(F.col("__weft_path")))
+    up = (at("sh") - own + at("kh") * F.lit(mean)) / (at("nh") - 1 + at("kh"))
+    site = (at("s") - own + at("kp") * up) / (at("n") - 1 + at("kp"))
+    both = 1 / (1 + F.exp(-(logit(own) - F.lit(float(np.log(mean / (1 - mean)))) + logit(F.col("__weft_prior")))))
+    joined = joined.withColumn("__weft_prior", site).withColumn("__weft_both", both)
+    values = [own, F.col("__weft_prior"), F.col("__weft_both"), F.col("__weft_both") >= threshold]
+    return joined.select(*[c for c in docs.columns if c not in added], *[v.alias(n) for v, n in zip(values, added, strict=True)])
 
 
 def held_out(id_column: str = "doc_id") -> Column:
