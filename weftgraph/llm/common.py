@@ -99,6 +99,7 @@ def sorted_order(keys: np.ndarray) -> np.ndarray:
     """
     n = len(keys)
     low = np.uint64((1 << n.bit_length()) - 1)
+    keys = keys << np.uint64(64 - int(keys.max()).bit_length() if n and keys.max() else 0)
     order = np.sort(keys & ~low | np.arange(n, dtype=np.uint64)) & low
     order = order.astype(np.int64)
     ordered = keys[order]

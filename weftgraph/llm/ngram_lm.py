@@ -9,9 +9,9 @@ it. Owners then count, one order lower, what Kneser-Ney needs: distinct left
 extensions of each suffix, and totals and count classes of each context. At the
 end a chunk has every number its documents' probabilities take.
 
-Keys are 56-bit hashes of the n-gram's words: sorted, a key takes about five
-bytes. Of N n-grams about N^2 / 2^57 pairs share one and are counted as one (none
-to be expected in 10^8, one in 15,000 in 10^13).
+An n-gram's key is a hash of its words with 21 bits more than it takes to count
+the corpus's tokens, so at every size at most one n-gram in two million shares its
+key with another one and is counted with it; sorted, a key takes about four bytes.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ from weftgraph.llm.common import WordHashes, grouped, mix, picked, release, save
 
 #: Hashes that stand for the start and the end of a text.
 PAD, STOP = np.uint64(0x5D41_402A_BC4B_2A), np.uint64(0xB1A8_7E36_90CD_73)
-KEY_BITS = 56
-_KEY = np.uint64((1 << KEY_BITS) - 1)
+#: Bits of a word's hash in a chunk.
+WORD_BITS = 56
+_WORD = np.uint64((1 << WORD_BITS) - 1)
 #: Counted for each n-gram below the highest order; the highest has its count alone.
 LOWER = ("continuations", "context_total", "context_ones", "context_twos", "context_more", "raw")
 
@@ -98,7 +99,7 @@ class Chunk:
 class Grams:
     """The n-gram hashes at every position of a chunk."""
 
-    def __init__(self, chunk: Chunk, order: int) -> None:
+    def __init__(self, chunk: Chunk, order: int, bits: int) -> None:
         lens, pads = chunk.lens, order - 1
         total = int(lens.sum()) + pads * len(lens)
         stops = np.cumsum(lens + pads)
@@ -107,10 +108,11 @@ class Grams:
         self.at = np.arange(int(lens.sum())) + pads * (self.doc + 1)
         marked = np.full(total, PAD, np.uint64)
         marked[self.at] = chunk.words
-        self.keys = [marked]
+        mask = np.uint64((1 << bits) - 1)
+        self.keys = [marked & mask]
         for _ in range(order - 1):
             last = self.keys[-1]
-            self.keys.append(mix(np.concatenate([[PAD], last[:-1]]), marked) & _KEY)
+            self.keys.append(mix(np.concatenate([[PAD], last[:-1]]), marked) & mask)
         self.train = chunk.train[self.doc]
         self.starts = stops - lens - 1
         # where among asked-for keys the one before each token is: the token before, or the start of the text
@@ -141,7 +143,7 @@ def chunk_rows(docs: DataFrame, train: Column, id_column: str, text_column: str,
 
         for batch in batches:
             for i, text, t in zip(*picked(batch, "id", "text", "train"), strict=True):
-                hashes = known.of(text.lower().split()) & _KEY
+                hashes = known.of(text.lower().split()) & _WORD
                 ids.append(i)
                 train.append(t)
                 lens.append(len(hashes) + 1)
@@ -159,9 +161,9 @@ def chunk_rows(docs: DataFrame, train: Column, id_column: str, text_column: str,
 # one order -------------------------------------------------------------------
 
 
-def _sent(chunk: int, keys: np.ndarray, columns: list[np.ndarray], shards: int) -> list[dict]:
+def _sent(chunk: int, keys: np.ndarray, columns: list[np.ndarray], shards: int, bits: int) -> list[dict]:
     """Rows for the shards that own some of the sorted keys: equal ranges of the hash."""
-    width = (1 << KEY_BITS) // shards + 1
+    width = (1 << bits) // shards + 1
     cuts = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * np.uint64(width))
     out = []
     for s, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
@@ -233,16 +235,16 @@ def _answers(pdf: pd.DataFrame) -> list[np.ndarray]:
     return [np.concatenate([p[j] for p in parts]) for j in range(len(parts[0]))] if parts else []
 
 
-def _first_sends(order: int, shards: int):
+def _first_sends(order: int, shards: int, bits: int):
     """Order's own n-grams with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(*picked(batch, "chunk", "data"), strict=True):
-                grams = Grams(Chunk.unpacked(data), order)
+                grams = Grams(Chunk.unpacked(data), order, bits)
                 keys, inverse, _ = grouped(grams.asked(order))
                 count = np.bincount(inverse, weights=grams.train, minlength=len(keys)).astype(np.int64)
-                rows = _sent(chunk, keys, [count], shards)
+                rows = _sent(chunk, keys, [count], shards, bits)
                 yield pa.RecordBatch.from_pylist(rows, schema=_arrow_sent)
 
     return run
@@ -251,14 +253,14 @@ def _first_sends(order: int, shards: int):
 _arrow_sent = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("columns", pa.list_(pa.binary()))])
 
 
-def _next_sends(order: int, n: int, shards: int):
+def _next_sends(order: int, n: int, shards: int, bits: int):
     """From a chunk and the answers of order n + 1: what its owned n-grams add to order n."""
 
     def run(chunks: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         names = ["shard", "chunk", "keys", "columns"]
         if not len(chunks):
             return _frame([], names)
-        grams = Grams(Chunk.unpacked(chunks["data"].iloc[0]), order)
+        grams = Grams(Chunk.unpacked(chunks["data"].iloc[0]), order, bits)
         answers = _answers(above)
         _, above_at, first = grouped(grams.asked(n + 1))
         first = first[first < len(grams.at)]  # without the contexts at the starts of texts
@@ -272,7 +274,7 @@ def _next_sends(order: int, n: int, shards: int):
         sums = lambda where, weight=None: np.bincount(where, weights=weight, minlength=size).astype(np.int64)
         columns = [sums(suffix), sums(context, count), sums(context[count == 1]), sums(context[count == 2]), sums(context[count > 2])]
         columns.append(sums(inverse[: len(grams.at)], grams.train) if n == 1 else np.zeros(size, np.int64))
-        return _frame(_sent(int(chunks["chunk"].iloc[0]), keys, columns, shards), names)
+        return _frame(_sent(int(chunks["chunk"].iloc[0]), keys, columns, shards, bits), names)
 
     return run
 
@@ -302,13 +304,13 @@ class Totals:
     vocabulary: int
 
 
-def _scores(order: int, totals: Totals):
+def _scores(order: int, bits: int, totals: Totals):
     def run(chunks: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if not len(chunks):
             return _frame([], names)
         chunk = Chunk.unpacked(chunks["data"].iloc[0])
-        grams = Grams(chunk, order)
+        grams = Grams(chunk, order, bits)
         vocabulary, n_all = totals.vocabulary, totals.train_tokens
         p = None
         context: list[np.ndarray] = []
@@ -344,7 +346,7 @@ def _scores(order: int, totals: Totals):
     return run
 
 
-def kneser_ney(docs: DataFrame, train: Column, order: int = 3, id_column: str = "doc_id", text_column: str = "text", chunk_tokens: int = 1_000_000, shard_keys: int = 1_500_000) -> tuple[DataFrame, dict[int, DataFrame]]:
+def kneser_ney(docs: DataFrame, train: Column, order: int = 3, id_column: str = "doc_id", text_column: str = "text", chunk_tokens: int = 800_000, shard_keys: int = 1_200_000) -> tuple[DataFrame, dict[int, DataFrame]]:
     """(scores, model): scores of every row of docs, by a model of the rows where train holds.
 
     scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
@@ -367,16 +369,17 @@ def kneser_ney(docs: DataFrame, train: Column, order: int = 3, id_column: str =
     release(spark)
     tables: dict[int, DataFrame] = {}
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
+    bits = min(WORD_BITS + 7, max(32, int(tokens).bit_length() + 21))
     chunks = chunks.select("chunk", "data")
     if order < 2:
         raise ValueError("order must be 2 or more")
     for n in range(order, 0, -1):
         shards = tokens // shard_keys + 1  # a chunk sends at most as many keys as it has tokens
         if n == order:
-            sent = chunks.mapInArrow(_first_sends(order, shards), _SENT)
+            sent = chunks.mapInArrow(_first_sends(order, shards, bits), _SENT)
         else:
             above = tables[n + 1].where("chunk >= 0").select("shard", "chunk", "columns")
-            sent = chunks.groupBy("chunk").cogroup(above.groupBy("chunk")).applyInPandas(_next_sends(order, n, shards), _SENT)
+            sent = chunks.groupBy("chunk").cogroup(above.groupBy("chunk")).applyInPandas(_next_sends(order, n, shards, bits), _SENT)
         made = sent.groupBy("shard").applyInPandas(_merge(n == order), _MODEL)
         tables[n] = saved(made, f"lm_order_{n}")
         del sent, made
@@ -389,7 +392,7 @@ def kneser_ney(docs: DataFrame, train: Column, order: int = 3, id_column: str =
         part = table.where("chunk >= 0").select("chunk", "shard", "columns", F.lit(n).alias("n"))
         answered = part if answered is None else answered.unionByName(part)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scores = chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(_scores(order, totals), schema)
+    scores = chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(_scores(order, bits, totals), schema)
     scores = saved(scores.withColumn("train_tokens", F.lit(totals.train_tokens).cast("long")), "lm_scores")
     spark.sql(f"drop table {name}")
     return scores, {n: t.where("chunk < 0") for n, t in tables.items()}
