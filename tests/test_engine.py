@@ -230,6 +230,30 @@ def test_graph_files(spark, tmp_path):
     assert len(empty.nodes) == len(empty.edges) == len(empty.vectors) == 0
 
 
+def test_graph_file_of_an_engine(spark, tmp_path):
+    engine = assistant(spark)
+    path = str(tmp_path / "out.graph")
+    size = graph_file.write_graph(engine.graph, path, 4)
+    back = graph_file.read_graph(spark, path)
+    assert {(r.node_id, r.name, r.type, r.description) for r in back.nodes.collect()} == {(i, n, t, d) for i, (n, t, d, _) in enumerate(NODES)}
+    assert {(r.src, r.dst, r.relation, r.directed) for r in back.edges.collect()} == {(s, d, r, way) for s, d, r, _, way in EDGES}
+    assert graph_file.file_checksums(spark, path).first().length == size
+    found = Engine(back, CONFIG).retrieve(query(spark, [0.98, 0.02, 0, 0]), QueryOptions(2, 500)).scored_entities
+    assert found.where("node_id = 0").count() == 1
+    with pytest.raises(InvalidConfig):
+        graph_file.write_graph(engine.graph, path, 4, most=3)
+    engine.clear()
+    assert engine.graph.nodes.count() == 0 and engine.dirty
+
+
+def test_command_line(capsys):
+    from weftgraph import VERSION
+    from weftgraph.__main__ import main
+
+    main([])
+    assert VERSION in capsys.readouterr().out
+
+
 def test_crc32(spark):
     rows = spark.createDataFrame([(b"123456789",), (b"The quick brown fox jumps over the lazy dog",)], "b binary").select(snapshot.crc32(F.col("b"))).collect()
     assert [r[0] for r in rows] == [0xCBF43926, 0x414FA339]

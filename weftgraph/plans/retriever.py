@@ -97,6 +97,10 @@ class Engine:
         self._changed(graph)
         return results
 
+    def clear(self) -> None:
+        """An empty graph; earlier versions of a snapshot stay."""
+        self._changed(PropertyGraph.empty(self.graph.nodes.sparkSession))
+
     def stats(self) -> DataFrame:
         return self.graph.stats()
 

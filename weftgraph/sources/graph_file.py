@@ -15,8 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftgraph.functions.vectors import sq8_quantize
 from weftgraph.operators.graph import PropertyGraph
-from weftgraph.plans.config import ChecksumMismatch, Metric, SnapshotCorrupt, UnsupportedVersion
+from weftgraph.plans.config import ChecksumMismatch, InvalidConfig, Metric, SnapshotCorrupt, UnsupportedVersion
+from weftgraph.sources.snapshot import write_bytes
 
 #: Magic, version, flags, sizes, and the id that means "none".
 MAGIC, VERSION, FLAG_SQ8 = b"GRPH", 1, 1
@@ -195,3 +197,21 @@ def encode(nodes: list, edges: list, vectors: dict[int, tuple[list[int], float,
     data = head.packed() + b"".join(sections)
     total = checksum(data)
     return data[:CHECKSUM_AT] + struct.pack("<I", total) + data[CHECKSUM_AT + 4 :]
+
+
+def write_graph(graph: PropertyGraph, path: str, dim: int, metric: Metric = Metric.COSINE, most: int = 5_000_000) -> int:
+    """Writes the active part of a graph as one file, beside and then renamed; returns its bytes.
+
+    The format is one sequence of bytes with 32-bit ids, so its rows go through the
+    driver: more than `most` nodes or edges are an error (snapshots have no such
+    limit). Vectors are quantised by the executors.
+    """
+    nodes, edges = graph.active_nodes(), graph.active_edges()
+    n, m = nodes.count(), edges.count()
+    if max(n, m) > most:
+        raise InvalidConfig(f"{n} nodes and {m} edges are too many for one file; write a snapshot")
+    vectors = graph.vectors.join(nodes.select("node_id"), "node_id", "left_semi").select("node_id", sq8_quantize(F.col("embedding")).alias("q")).select("node_id", "q.*")
+    coded = {r.node_id: (list(r.data), r.scale, r.norm) for r in vectors.collect()}
+    data = encode([r.asDict() for r in nodes.collect()], [r.asDict() for r in edges.collect()], coded, dim, metric)
+    write_bytes(nodes.sparkSession, path, data)
+    return len(data)

@@ -20,13 +20,13 @@ def _files(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside, then renamed over, so readers see the old or the new text."""
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Written beside, then renamed over, so readers see the old or the new content."""
     jvm = spark.sparkContext._jvm
     where, _ = _files(spark, path)
     beside, fs = _files(spark, path + ".tmp")
     out = fs.create(beside, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(data))
     out.hsync()
     out.close()
     rename = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -67,8 +67,8 @@ def save(graph: PropertyGraph, path: str, config: EngineConfig, buckets: int | N
         df.select(*[F.col(f.name).cast(f.dataType) for f in _TABLES[name]]).write.mode("overwrite").parquet(f"{folder}/{name}")
         n, h = content_hash(spark.read.schema(_TABLES[name]).parquet(f"{folder}/{name}"))
         manifest["tables"][name] = {"rows": n, "hash": h}
-    _write_text(spark, f"{folder}/MANIFEST.json", json.dumps(manifest))
-    _write_text(spark, f"{path}/CURRENT", str(version))
+    write_bytes(spark, f"{folder}/MANIFEST.json", json.dumps(manifest).encode())
+    write_bytes(spark, f"{path}/CURRENT", str(version).encode())
     return version
 
 
