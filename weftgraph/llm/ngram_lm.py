@@ -36,7 +36,8 @@ PAD, STOP = np.uint64(0x5D41_402A_BC4B_2A), np.uint64(0xB1A8_7E36_90CD_73)
 WORD_BITS = 56
 _WORD = np.uint64((1 << WORD_BITS) - 1)
 #: Counted for each n-gram below the highest order; the highest has its count alone.
-LOWER = ("continuations", "context_total", "context_ones", "context_twos", "context_more", "raw")
+#: context_rest is the total without what follows once or twice, which is zero for most.
+LOWER = ("continuations", "context_rest", "context_ones", "context_twos", "context_more", "raw")
 
 # packed arrays ---------------------------------------------------------------
 
@@ -79,10 +80,11 @@ class Chunk:
 
     def packed(self) -> bytes:
         names, codes, _ = grouped(self.words)
+        # by falling count; words of the same count, most of all those with one, by hash
         by = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
         place = np.empty_like(by)
         place[by] = np.arange(len(by))
-        parts = [squeezed(self.ids.view(np.uint64)), squeezed(self.null_ids.astype(np.uint8)), squeezed(self.train.astype(np.uint8)), squeezed(self.lens.astype("<u4")), squeezed(names[by]), squeezed(narrow(place[codes]))]
+        parts = [squeezed(self.ids.view(np.uint64)), squeezed(self.null_ids.astype(np.uint8)), squeezed(self.train.astype(np.uint8)), squeezed(self.lens.astype("<u4")), squeezed(names[by], deltas=True), squeezed(narrow(place[codes]))]
         return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
     @classmethod
@@ -90,7 +92,7 @@ class Chunk:
         parts, at = [], 0
         while at < len(data):
             n = int.from_bytes(data[at : at + 8], "little")
-            parts.append(unsqueezed(data[at + 8 : at + 8 + n]))
+            parts.append(unsqueezed(data[at + 8 : at + 8 + n], deltas=len(parts) == 4))  # the words' hashes
             at += 8 + n
         ids, null_ids, train, lens, names, codes = parts
         return cls(ids.view(np.int64), null_ids.astype(bool), train.astype(bool), lens.astype(np.int64), names[codes] if len(codes) else np.zeros(0, np.uint64))
@@ -272,7 +274,8 @@ def _next_sends(order: int, n: int, shards: int, bits: int):
         suffix, context = inverse[token], inverse[grams.before[token]]
         size = len(keys)
         sums = lambda where, weight=None: np.bincount(where, weights=weight, minlength=size).astype(np.int64)
-        columns = [sums(suffix), sums(context, count), sums(context[count == 1]), sums(context[count == 2]), sums(context[count > 2])]
+        more = count > 2
+        columns = [sums(suffix), sums(context[more], count[more]), sums(context[count == 1]), sums(context[count == 2]), sums(context[more])]
         columns.append(sums(inverse[: len(grams.at)], grams.train) if n == 1 else np.zeros(size, np.int64))
         return _frame(_sent(int(chunks["chunk"].iloc[0]), keys, columns, shards, bits), names)
 
@@ -328,7 +331,8 @@ def _scores(order: int, bits: int, totals: Totals):
                 p = np.maximum(count - cut, 0) / total + rest / total / (vocabulary + 1) if total else np.full(len(count), 1 / (vocabulary + 1))
                 raw = answers[5][here]
             else:
-                total, ones, twos, more = (c.astype(float) for c in context)
+                rest, ones, twos, more = (c.astype(float) for c in context)
+                total = rest + ones + 2 * twos
                 known = total > 0
                 safe = np.where(known, total, 1)
                 q = np.maximum(count - cut, 0) / safe + (d[0] * ones + d[1] * twos + d[2] * more) / safe * p
