@@ -75,7 +75,7 @@ class Index:
 class Decontaminator:
     """window = k + w - 1 words; documented parameters k (words in a gram) and window."""
 
-    def __init__(self, window: int = 10, k: int = 5, broadcast_windows: int = 1_000_000) -> None:
+    def __init__(self, window: int = 10, k: int = 5, broadcast_windows: int = 250_000) -> None:
         self.window, self.k, self.w, self.broadcast_windows = window, k, window - k + 1, broadcast_windows
 
     # items -----------------------------------------------------------------
@@ -111,7 +111,7 @@ class Decontaminator:
         """doc_id, n_words, n_hit, spans (array of [first word, end)), items (sorted strings) for every row of docs.
 
         The items' windows are counted first: up to `broadcast_windows` of them
-        (about 100 MB) go to the tasks, which then need no shuffle; more of them are
+        (some 50 MB) go to the tasks, which then need no shuffle; more of them are
         cut into as many parts of that size, and each part is matched in a pass of
         its own over the documents, whose few hits are joined.
         Null and wordless texts have no words and no hits; rows that repeat a
@@ -235,8 +235,7 @@ def _hits(words: np.ndarray, lens: np.ndarray, index: Index, size: int, k: int,
     begin, win, length, doc = begin[keep], win[keep], length[keep], doc[keep]
     order = np.lexsort((begin, doc))
     out = none
-    at, stop = np.unique(doc[order]), None
-    for d in at.tolist():
+    for d in np.unique(doc).tolist():
         rows = order[np.searchsorted(doc[order], d) : np.searchsorted(doc[order], d, side="right")]
         merged: list[list[int]] = []
         for b, e in zip((begin[rows] - starts[d]).tolist(), (begin[rows] + length[rows] - starts[d]).tolist(), strict=True):
@@ -246,5 +245,4 @@ def _hits(words: np.ndarray, lens: np.ndarray, index: Index, size: int, k: int,
                 merged.append([b, e])
         items = {i for v in {(int(index.hash[x]), int(index.length[x])) for x in win[rows]} for i in index.items[v]}
         out[d] = (sum(e - b for b, e in merged), merged, sorted(items))
-    del stop
     return out
