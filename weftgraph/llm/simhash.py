@@ -251,8 +251,8 @@ def near_links(nodes: DataFrame, keys: Column, tables: int, radius: int = 3, sim
     as many as join its members. A hash that two keys share joins their cells,
     which costs time and changes nothing, as every link is measured.
     """
-    columns = ["node", "fp"] + ["sig"] * (similarity is not None)
-    keyed = nodes.select(*columns, F.explode(keys).alias("key"))
+    # keys are counted and joined without signatures, which only what shares a key needs
+    keyed = nodes.select("node", "fp", F.explode(keys).alias("key"))
     sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, nodes.count() * tables // rows_per_task)
     parts = F.ceil(F.col("n") / shard_rows).cast("int")
@@ -263,10 +263,12 @@ def near_links(nodes: DataFrame, keys: Column, tables: int, radius: int = 3, sim
         keyed.join(sizes, "key")
         .withColumn("parts", parts)
         .withColumn("part", part)
-        .select(*columns, "key", F.explode(other).alias("c"))
-        .select(*columns, F.xxhash64("key", "c.i", "c.j").alias("cell"), F.col("c.side").alias("side"))
+        .select("node", "fp", "key", F.explode(other).alias("c"))
+        .select("node", "fp", F.xxhash64("key", "c.i", "c.j").alias("cell"), F.col("c.side").alias("side"))
         .withColumn("task", F.pmod("cell", F.lit(tasks)).cast("int"))
     )
+    if similarity is not None:
+        cells = cells.join(nodes.select("node", "sig"), "node")
     return cells.groupBy("task").applyInPandas(lambda pdf: cell_links(pdf, radius, similarity), "a long, b long")
 
 
