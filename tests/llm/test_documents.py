@@ -292,6 +292,24 @@ def test_similar_copies(spark):
     assert simhash.similar_copies(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("length", "pairs"), [(45, 40), (225, 40), (1250, 40)])
+def test_similar_copies_are_exact(spark, length, pairs):
+    """Pairs from 0.75 to 0.87, short and long; also where keys and classes are cut into parts."""
+    rnd, rows, want = random.Random(length), [], {}
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i in range(0, 2 * pairs, 2):
+        a = [f"w{rnd.randrange(10**6)}" for _ in range(length)]
+        change = round(length * rnd.uniform(0.075, 0.136))
+        b = a[:-change] + [f"w{rnd.randrange(10**6)}" for _ in range(change)]
+        true = len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+        want[i + 1] = i if true >= 0.8 else i + 1
+    assert 5 < sum(k != v for k, v in want.items()) < pairs - 5
+    for bounds in ({}, {"shard_rows": 1, "exact_rows": 1}):
+        got = {r.doc_id: r.component_id for r in simhash.similar_copies(docs(spark, rows), **bounds).collect()}
+        assert {i: got[i] for i in want} == want
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(11)
     for share in (0.5, 0.8, 0.95):

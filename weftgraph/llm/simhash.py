@@ -14,6 +14,7 @@ Spark.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
@@ -22,8 +23,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from weftgraph.llm.common import picked, record_batch, saved, text_bytes
+from weftgraph.llm.common import chunks, picked, record_batch, saved, text_bytes
 from weftgraph.llm.components import connected_components
 
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
@@ -75,8 +77,8 @@ def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", tex
 
 #: Bytes of a signature: 128 bins of four bits.
 SIGNATURE, BINS = 64, 128
-#: At similarity 0.8 a run of 6 bins agrees with 0.288, so one of 16 does with 0.996.
-BANDS, ROWS = 16, 6
+#: Fewest hashes for which a signature is used, and fewest for which it is used alone (512 / 0.8).
+SIGNED, ONLY_SIGNED = 512, 640
 _NIBBLES = np.uint64(0x1111_1111_1111_1111)
 
 
@@ -96,13 +98,6 @@ def signature(hashes: np.ndarray) -> bytes:
     return (nibbles[0::2] | nibbles[1::2] << 4).tobytes()
 
 
-def bands(sig: bytes) -> list[int]:
-    """A number for each run of ROWS bins, of the first BANDS such runs."""
-    raw = np.frombuffer(sig, np.uint8)
-    nibbles = np.stack([raw & 15, raw >> 4], 1).ravel()[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.int64)
-    return (nibbles @ (16 ** np.arange(ROWS)) + (np.arange(BANDS) << (4 * ROWS))).tolist()
-
-
 def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The Jaccard similarity that rows of signatures (as uint64) show: equal bins beyond the 1/16 that agree by chance."""
     x = a ^ b
@@ -111,6 +106,19 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - 1 / 16) / (15 / 16)
 
 
+def histogram(hashes: np.ndarray) -> bytes:
+    """How many of the hashes each 64th part of their range holds, up to 255."""
+    return np.minimum(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """So many of the distinct, sorted hashes, rare before common ones, that any set at `similarity` shares one of its own."""
+    if len(common) and len(hashes):
+        known = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~known], hashes[known]])
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
 class BKForest:
     """BK-trees over groups of fingerprints, built and searched level by level in arrays."""
 
@@ -203,11 +211,10 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def cell_links(cells: pd.DataFrame, radius: int, similarity: float | None = None) -> pd.DataFrame:
+def cell_links(cells: pd.DataFrame, radius: int) -> pd.DataFrame:
     """Spanning links a, b between nodes of every cell.
 
-    Columns: cell, side (0 in the tree, 1 searches), node, fp; with `similarity`
-    also sig, and only pairs whose signatures show at least that much count.
+    Columns: cell, side (0 in the tree, 1 searches), node, fp.
     """
     # a node that is in the tree of its cell needs no second row
     cells = cells.sort_values(["cell", "side", "fp", "node"]).drop_duplicates(["cell", "node"])
@@ -220,15 +227,66 @@ def cell_links(cells: pd.DataFrame, radius: int, similarity: float | None = None
     forest = BKForest(number[inside], fps[inside])
     tree_of, node_row = np.cumsum(owned) - 1, np.flatnonzero(inside)
     rows = np.flatnonzero(owned[number] & (~split[number] | ~inside))  # a cell of two parts only crosses them
-    holds = None
-    if similarity is not None:
-        sigs = np.frombuffer(b"".join(cells["sig"]), np.uint64).reshape(len(cells), SIGNATURE // 8)
-        holds = lambda x, y: resemblance(sigs[x], sigs[y]) >= similarity
-    label = spanning(len(fps), ((rows[q], node_row[v]) for q, v in forest.within(tree_of[number[rows]], fps[rows], radius)), holds)
+    label = spanning(len(fps), ((rows[q], node_row[v]) for q, v in forest.within(tree_of[number[rows]], fps[rows], radius)))
     moved = label != np.arange(len(label))
     return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
 
 
+def within_cells(cell: np.ndarray, node: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of node numbers that share a cell and whose set sizes allow the similarity. Sorted by cell, then size."""
+    last = np.searchsorted(cell, cell, side="right")
+    at, lag = np.arange(len(cell)), 1
+    while len(at := at[at + lag < last[at]]):
+        at = at[size[at] >= similarity * size[at + lag] - 1e-9]  # the following ones are larger still
+        yield node[at], node[at + lag]
+        lag += 1
+
+
+def likely_links(cells: pd.DataFrame, similarity: float, cut: float) -> pd.DataFrame:
+    """Links a, b that span what in each cell may be at `similarity`. Columns: cell, node, n, hist, sig.
+
+    For sets under SIGNED hashes histograms tell surely: their parts' differences
+    add up to no more than the sets'. The signatures of others show at least `cut`.
+    """
+    cells = cells.sort_values(["cell", "n", "node"])
+    nodes, first, number = np.unique(cells["node"].to_numpy(), return_index=True, return_inverse=True)
+    one = cells.iloc[first]
+    size = one["n"].to_numpy()
+    hists = np.frombuffer(b"".join(h or bytes(64) for h in one["hist"]), np.uint8).reshape(len(one), 64)
+    sigs = np.frombuffer(b"".join(h or bytes(SIGNATURE) for h in one["sig"]), np.uint64).reshape(len(one), SIGNATURE // 8)
+
+    def holds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        good = np.empty(len(x), bool)
+        signed = np.minimum(size[x], size[y]) >= SIGNED
+        good[signed] = resemblance(sigs[x[signed]], sigs[y[signed]]) >= cut
+        x, y = x[~signed], y[~signed]
+        apart = np.abs(hists[x].astype(np.int16) - hists[y]).sum(axis=1)
+        good[~signed] = apart <= (size[x] + size[y]) * (1 - similarity) / (1 + similarity) + 1e-9
+        return good
+
+    label = spanning(len(nodes), within_cells(np.unique(cells["cell"], return_inverse=True)[1], number, cells["n"].to_numpy(), similarity), holds)
+    moved = label != np.arange(len(label))
+    return pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
+
+
+def exact_links(cells: pd.DataFrame, width: int, similarity: float) -> pd.DataFrame:
+    """Links a, b that span the pairs of each cell whose shingles have at least that Jaccard similarity. Columns: cell, node, n, text."""
+    cells = cells.sort_values(["cell", "n", "node"])
+    nodes, first, number = np.unique(cells["node"].to_numpy(), return_index=True, return_inverse=True)
+    sets = [np.unique(shingle_hashes(t, width)) for t in cells["text"].iloc[first]]
+
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        if len(a) > len(b):
+            a, b = b, a
+        shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+
+    holds = lambda x, y: np.fromiter((alike(sets[i], sets[j]) for i, j in zip(x, y, strict=True)), bool, len(x))
+    label = spanning(len(nodes), within_cells(np.unique(cells["cell"], return_inverse=True)[1], number, cells["n"].to_numpy(), similarity), holds)
+    moved = label != np.arange(len(label))
+    return pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
+
+
 def blocks_for(n: int, radius: int) -> int:
     """Bit blocks such that a key of random fingerprints has few members; any number is exact."""
     return radius + 1 + (n > 1 << 22) + (n > 1 << 28)
@@ -242,8 +300,22 @@ def block_keys(fp: Column, radius: int, blocks: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)])
 
 
-def near_links(nodes: DataFrame, keys: Column, tables: int, radius: int = 3, similarity: float | None = None, shard_rows: int = 20_000, rows_per_task: int = 200_000) -> DataFrame:
-    """Links a, b between nodes (columns node, fp, and sig with `similarity`) that span every class within radius.
+def dealt(keyed: DataFrame, shard_rows: int, tasks: int) -> DataFrame:
+    """The rows (node, key, n: rows of the key, and others) in cells of bounded size: with cell, side and task instead of key and n."""
+    # the cells (i, j), i <= j, of a key: tree of part i, searched for part j
+    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j"), (F.col("part") > j).cast("int").alias("side")))
+    rest = [c for c in keyed.columns if c not in ("key", "n")]
+    return (
+        keyed.withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+        .select(*rest, "key", F.explode(other).alias("c"))
+        .select(*rest, F.xxhash64("key", "c.i", "c.j").alias("cell"), F.col("c.side").alias("side"))
+        .withColumn("task", F.pmod("cell", F.lit(tasks)).cast("int"))
+    )
+
+
+def near_links(nodes: DataFrame, keys: Column, tables: int, radius: int = 3, shard_rows: int = 20_000, rows_per_task: int = 200_000) -> DataFrame:
+    """Links a, b between nodes (columns node, fp) that span every class within radius.
 
     keys: an array of `tables` keys; nodes meet where they share one.
 
@@ -251,25 +323,11 @@ def near_links(nodes: DataFrame, keys: Column, tables: int, radius: int = 3, sim
     as many as join its members. A hash that two keys share joins their cells,
     which costs time and changes nothing, as every link is measured.
     """
-    # keys are counted and joined without signatures, which only what shares a key needs
     keyed = nodes.select("node", "fp", F.explode(keys).alias("key"))
     sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, nodes.count() * tables // rows_per_task)
-    parts = F.ceil(F.col("n") / shard_rows).cast("int")
-    part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
-    # the cells (i, j), i <= j, of a key: tree of part i, searched for part j
-    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j"), (F.col("part") > j).cast("int").alias("side")))
-    cells = (
-        keyed.join(sizes, "key")
-        .withColumn("parts", parts)
-        .withColumn("part", part)
-        .select("node", "fp", "key", F.explode(other).alias("c"))
-        .select("node", "fp", F.xxhash64("key", "c.i", "c.j").alias("cell"), F.col("c.side").alias("side"))
-        .withColumn("task", F.pmod("cell", F.lit(tasks)).cast("int"))
-    )
-    if similarity is not None:
-        cells = cells.join(nodes.select("node", "sig"), "node")
-    return cells.groupBy("task").applyInPandas(lambda pdf: cell_links(pdf, radius, similarity), "a long, b long")
+    cells = dealt(keyed.join(sizes, "key"), shard_rows, tasks)
+    return cells.groupBy("task").applyInPandas(lambda pdf: cell_links(pdf, radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -292,35 +350,53 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_column:
     return rows.join(linked, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack: float = 0.04, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, component_id for every row of docs: classes of texts that share `similarity` of their shingles.
+def similar_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack: float = 0.22, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 20_000, exact_rows: int = 2_000) -> DataFrame:
+    """doc_id, component_id for every row of docs: classes of texts whose shingle sets have a Jaccard similarity of `similarity`.
 
-    Such texts have fingerprints of up to a fifth of different bits, too many for
-    blocks that surely agree. Shards are therefore keyed by runs of bins of a
-    128-bin signature (0.996 of pairs at 0.8 meet in one) beside the block keys (all
-    pairs of up to three different bits meet). In a shard's BK-tree a pair counts if
-    its fingerprints lie within a quarter more than (1 - similarity) of the bits and
-    its signatures show a similarity of at least `similarity` less `slack`, one
-    standard error of that estimate. Nulls, ties, repeated rows and empty tables: as
-    in near_duplicates.
+    Every pair that is linked is measured on the sets themselves. Texts of such a
+    pair share a hash of their sets' prefixes (a fifth of the hashes, in one order
+    for all), so each prefix hash is a key. What shares one is compared by size
+    and by histogram, which lose nothing, or, from SIGNED hashes on, by size and
+    by a 128-bin signature that shows at least `similarity` less `slack`, six standard
+    errors of that estimate. Such links give coarse classes, in which the texts
+    meet and are compared. Hashes found often in a sample come last in the order,
+    which keeps keys small and changes no result. Nulls, ties, repeated rows and
+    empty tables: as in near_duplicates.
     """
-    radius = round((1 - similarity) * 64 * 1.25)
+    spark = docs.sparkSession
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text"))
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    sample = source.orderBy(F.xxhash64("doc_id", "text")).limit(2_000).select("text").toPandas()["text"]
+    found, often = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(t, width)) for t in sample)]), return_counts=True)
+    common = spark.sparkContext.broadcast(found[often >= 3])
+    kind = "doc_id long, node long, n long, keys array<long>, hist binary, sig binary, text binary"
+    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("hist", pa.binary()), ("sig", pa.binary()), ("text", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             ids, texts = picked(batch, "doc_id", "text")
-            hashes = [shingle_hashes(t, width) for t in texts]
-            found = np.fromiter(map(majority, hashes), np.uint64, len(texts))
-            sigs = [signature(h) for h in hashes]
-            yield record_batch(out, [ids, pa.array(found.view(np.int64)), sigs, [bands(s) for s in sigs]])
-
-    rows = saved(source.mapInArrow(run, "doc_id long, fp long, sig binary, bands array<long>").withColumn("node", F.xxhash64("fp", "sig")), "signatures")
-    nodes = saved(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.min("bands").alias("bands"), F.min("doc_id").alias("least")), "distinct_signatures")
-    blocks = blocks_for(nodes.count(), 3)
-    links = near_links(nodes, F.concat(block_keys(F.col("fp"), 3, blocks), "bands"), BANDS + comb(blocks, 3), radius, similarity - slack)
-    classes = connected_components(links)
+            for part in chunks(len(texts), 500):
+                sets = [np.unique(shingle_hashes(t, width)) for t in texts[part]]
+                node = np.fromiter((xxhash.xxh64_intdigest(h.tobytes()) for h in sets), np.uint64, len(sets)).view(np.int64)
+                keys = [prefix(h, similarity, common.value).view(np.int64) for h in sets]
+                hists = [histogram(h) if len(h) < ONLY_SIGNED else None for h in sets]
+                sigs = [signature(h) if len(h) >= SIGNED else None for h in sets]
+                yield record_batch(out, [ids[part], pa.array(node), [len(h) for h in sets], keys, hists, sigs, texts[part]])
+
+    rows = saved(source.mapInArrow(run, kind), "shingles")
+    nodes = saved(rows.groupBy("node").agg(F.min("n").alias("n"), F.min("hist").alias("hist"), F.min("sig").alias("sig"), F.min("keys").alias("keys"), F.min("doc_id").alias("least")), "distinct_shingles")
+    parallel = spark.sparkContext.defaultParallelism
+    keyed = nodes.select("node", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    met = saved(keyed.where("n > 1"), "keys")
+    cells = dealt(met, shard_rows, max(parallel, met.count() // 100_000)).join(nodes.select("node", "n", "hist", "sig"), "node")
+    coarse = connected_components(cells.groupBy("task").applyInPandas(lambda pdf: likely_links(pdf, similarity, similarity - slack), "a long, b long"))
+    # one text for each node of a coarse class; copies are left out before the shuffle
+    sizes = coarse.groupBy("component").agg(F.count("*").alias("n"))
+    members = saved(coarse.join(sizes, "component").select("node", F.col("component").alias("key"), "n"), "coarse")
+    texts = rows.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    cells = dealt(members, exact_rows, max(parallel, members.count() // 1_000)).join(nodes.select("node", "n"), "node").join(texts, "node")
+    classes = connected_components(cells.groupBy("task").applyInPandas(lambda pdf: exact_links(pdf, width, similarity), "a long, b long"))
     classes = nodes.join(classes, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = classes.join(ids, "component").select("node", "component_id")
