@@ -182,3 +182,21 @@ def test_chunks_round_trip():
     d = Chunk.unpacked(c.packed())
     for name in ("ids", "null_ids", "train", "lens", "words"):
         assert (getattr(c, name) == getattr(d, name)).all()
+
+
+def test_search_among_near_equal_vectors():
+    """A third of a shard is one group of almost equal vectors."""
+    import numpy as np
+
+    from weftgraph.llm.ann import AnisotropicQuantizer, search_shard, unit
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = rng.normal(size=64) + 0.01 * rng.normal(size=(1000, 64))
+    ids = np.arange(3000)
+    asked = np.concatenate([np.arange(0, 1000, 100), np.arange(1000, 3000, 200)])
+    found = search_shard(AnisotropicQuantizer.fit(unit(x[::3])), ids, x, asked, x[asked], 5, 160)
+    for i in asked:
+        exact = unit(x) @ unit(x[i : i + 1])[0]
+        exact[i] = -2
+        assert set(found[found.query_id == i].vec_id) == set(np.argsort(-exact)[:5])

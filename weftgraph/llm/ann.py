@@ -4,8 +4,8 @@ Unit vectors are cut into subspaces of two components, each coded in four bits.
 The codebooks minimise a loss that weighs the residual parallel to the vector
 `eta` times the orthogonal one, since that is what moves large inner products.
 A query becomes a table of 16 partial products per subspace; a scan adds them up
-for every code of a shard, and the best of a shard are reranked by their exact
-cosine in double precision.
+for every code of a shard, and all that can be among the best of a shard are
+reranked by their exact cosine in double precision.
 """
 
 from __future__ import annotations
@@ -89,6 +89,16 @@ class AnisotropicQuantizer:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         return codes[:, 0::2] | codes[:, 1::2] << 4
 
+    def slopes(self, x: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of unit vectors: the residual's part along the coded vector (as a multiple), the length across it, the coded squared length."""
+        m, _, d = self.books.shape
+        codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(x), -1)[:, :m]
+        coded = self.books[np.arange(m), codes].reshape(len(x), -1)
+        rest = self._split(x, m, d).reshape(len(x), -1) - coded
+        square = (coded * coded).sum(1)
+        along = (rest * coded).sum(1) / np.where(square > 0, square, 1)
+        return along, np.sqrt(np.maximum((rest * rest).sum(1) - along * along * square, 0)), square
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each unit query the partial products of every code: (queries, byte columns, 256)."""
         m, _, d = self.books.shape
@@ -104,8 +114,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def search_shard(model: AnisotropicQuantizer, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, rerank: int, block: int = 64) -> pd.DataFrame:
-    """Each query's k best of a shard: table scan, then exact cosine of the best `rerank` distinct vectors.
+    """Each query's k best of a shard: table scan, then exact cosines.
 
+    The best `rerank` distinct vectors of the scan give a score to beat; then every
+    other vector that could reach it, by its scan score and its coding residual,
+    is measured too, so that the result is exact whatever `rerank` is.
     Equal vectors are scanned once and share their score, so a hot vector does
     not crowd out others; of equals the smallest ids are kept, beside the query's own.
     """
@@ -123,9 +136,25 @@ def search_shard(model: AnisotropicQuantizer, ids: np.ndarray, x: np.ndarray, qu
     distinct = x[first[rank]]
     norms = np.sqrt((distinct * distinct).sum(1))
     codes = model.packed(distinct / norms[:, None])
+    along, across, square = (np.concatenate(v) for v in zip(*[model.slopes(distinct[i : i + 8192] / norms[i : i + 8192, None], codes[i : i + 8192]) for i in range(0, len(distinct), 8192)], strict=True))
     columns = [np.ascontiguousarray(codes[:, j]) for j in range(codes.shape[1])]
     qn = np.sqrt((q * q).sum(1))
     n, top = len(distinct), min(rerank, len(distinct))
+
+    def cosines(of: np.ndarray, query: np.ndarray, length: float) -> np.ndarray:
+        parts = [of[i : i + 8192] for i in range(0, len(of), 8192)]
+        return np.concatenate([(distinct[p] * query).sum(1) / (norms[p] * length) for p in parts])
+
+    def nearest(best: np.ndarray, exact: np.ndarray, own: int) -> list[tuple[float, int]]:
+        found: list[tuple[float, int]] = []
+        for r in np.lexsort((best, -exact)):
+            if len(found) >= k and exact[r] < found[k - 1][0]:
+                break
+            members = ids[by[starts[best[r]] : starts[best[r] + 1]][: k + 1]]
+            found += [(float(exact[r]), int(v)) for v in members if v != own][:k]
+            found.sort(key=lambda f: (-f[0], f[1]))
+        return found
+
     out: list[tuple[int, int, float]] = []
     for at in range(0, len(q), block):
         tables = model.tables(q[at : at + block] / qn[at : at + block, None])
@@ -140,14 +169,18 @@ def search_shard(model: AnisotropicQuantizer, ids: np.ndarray, x: np.ndarray, qu
             else:
                 best = np.arange(n)
             query, own = q[at + i], query_ids[at + i]
-            exact = (distinct[best] * query).sum(1) / (norms[best] * qn[at + i])
-            found: list[tuple[float, int]] = []
-            for r in np.lexsort((best, -exact)):
-                if len(found) >= k and exact[r] < found[k - 1][0]:
-                    break
-                members = ids[by[starts[best[r]] : starts[best[r] + 1]][: k + 1]]
-                found += [(float(exact[r]), int(v)) for v in members if v != own][:k]
-                found.sort(key=lambda f: (-f[0], f[1]))
+            exact = cosines(best, query, qn[at + i])
+            found = nearest(best, exact, own)
+            if top < n:
+                # cosine = scan * (1 + along) + what the query has across the coded vector, at most
+                side = np.sqrt(np.maximum(1 - scan * scan / np.where(square > 0, square, 1), 0)) * (square > 0) + (square == 0)
+                bound = scan * (1 + along) + across * side + 1e-4  # scores are summed in single precision
+                open_ = bound >= (found[k - 1][0] if len(found) >= k else -np.inf)
+                open_[best] = False
+                if open_.any():
+                    more = np.flatnonzero(open_)
+                    best, exact = np.concatenate([best, more]), np.concatenate([exact, cosines(more, query, qn[at + i])])
+                    found = nearest(best, exact, own)
             out += [(int(own), v, s) for s, v in found[:k]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
