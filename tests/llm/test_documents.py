@@ -390,6 +390,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert len({r.score for r in none}) == 1
 
 
+def test_toxicity_keeps_the_balance_of_classes(spark, monkeypatch):
+    """A fifth of the labelled rows is toxic; so is it by weight, also where the bounds of the sample bind."""
+    rows, labels = marked(spark)
+    seen = []
+    monkeypatch.setattr(toxicity.Calibrated, "fit", lambda x, y, fold, weight=None: seen.append((y, np.ones(len(y)) if weight is None else weight)))
+    for sample_rows in (12_000, 100):
+        toxicity.ToxicityModel.fit(rows, labels, sample_rows=sample_rows)
+    assert [len(y) for y, _ in seen] == [400, 150]
+    for y, weight in seen:
+        assert (weight * y).sum() / weight.sum() == pytest.approx(0.2)
+
+
 def test_calibration_is_monotone():
     from weftgraph.llm.trees import BoostedTrees, Isotonic
 

@@ -180,7 +180,12 @@ class ToxicityModel:
         rows = sorted(rows, key=lambda r: r.id)
         x = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES))
         y = np.array([r.label for r in rows], float)
-        return cls(lexicon, Calibrated.fit(x, y, np.array([(r.id * 2654435761 >> 7) % 4 for r in rows], np.int64)), len(rows))
+        # each class weighs what was counted of it, whatever the bounds let into the sample
+        counted_of = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        share = [max(1.0, counted_of.get(label, 0) / bound) for label, bound in ((0, sample_rows), (1, sample_rows // 2))]
+        weight = np.where(y > 0, share[1], share[0])
+        weight = weight * (len(weight) / max(weight.sum(), 1))
+        return cls(lexicon, Calibrated.fit(x, y, np.array([(r.id * 2654435761 >> 7) % 4 for r in rows], np.int64), weight=weight), len(rows))
 
     def score(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
         """doc_id, score (0 to 1) for every row of docs; null texts are empty. One pass, no shuffle."""

@@ -31,9 +31,10 @@ class BoostedTrees:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(self.cuts)], axis=1).astype(np.int64) if len(self.cuts) else np.zeros((len(x), 0), np.int64)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
         n, d = x.shape
-        mean = (y.sum() + 0.5) / (n + 1)
+        weight = np.ones(n) if weight is None else weight
+        mean = ((weight * y).sum() + 0.5) / (weight.sum() + 1)
         self.base = float(np.log(mean / (1 - mean)))
         self.trees = []
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) if n else np.zeros(0) for j in range(d)]
@@ -43,7 +44,7 @@ class BoostedTrees:
         margin = np.full(n, self.base)
         for _ in range(self.rounds):
             p = logistic(margin)
-            grad, hess = p - y, p * (1 - p)
+            grad, hess = weight * (p - y), weight * p * (1 - p)
             node = np.zeros(n, np.int64)
             feature, cut = np.zeros((1 << self.depth) - 1, np.int64), np.full((1 << self.depth) - 1, width, np.int64)
             for level in range(self.depth):
@@ -86,11 +87,12 @@ class Isotonic:
     x: np.ndarray = field(default_factory=lambda: np.zeros(0))
     y: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def fit(self, score: np.ndarray, label: np.ndarray) -> Isotonic:
+    def fit(self, score: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
+        weight = np.ones(len(score)) if weight is None else weight
         order = np.argsort(score, kind="stable")
         blocks: list[list[float]] = []  # sum of labels, weight, sum of scores
-        for s, t in zip(score[order].tolist(), label[order].tolist(), strict=True):
-            blocks.append([t, 1.0, s])
+        for s, t, w in zip(score[order].tolist(), label[order].tolist(), weight[order].tolist(), strict=True):
+            blocks.append([w * t, w, w * s])
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 last = blocks.pop()
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
@@ -111,13 +113,14 @@ class Calibrated:
     curve: Isotonic
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = 4, **options) -> Calibrated:
+    def fit(cls, x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = 4, weight: np.ndarray | None = None, **options) -> Calibrated:
+        weight = np.ones(len(y)) if weight is None else weight
         unseen = np.zeros(len(y))
         for k in range(folds):
             out = fold % folds == k
             if out.any():
-                unseen[out] = BoostedTrees(**options).fit(x[~out], y[~out]).margin(x[out])
-        return cls(BoostedTrees(**options).fit(x, y), Isotonic().fit(unseen, y))
+                unseen[out] = BoostedTrees(**options).fit(x[~out], y[~out], weight[~out]).margin(x[out])
+        return cls(BoostedTrees(**options).fit(x, y, weight), Isotonic().fit(unseen, y, weight))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.curve.apply(self.trees.margin(x))
