@@ -1,11 +1,12 @@
 """Chat formatting with typed content parts, in DataFrame functions only.
 
 A message's content is an array of parts (type, text, ref, tokens). A visitor
-flattens them in order: text is escaped, image, audio and document parts become
-placeholders, and each attachment's reference, place and expanded token count is
-recorded. Turns are marked by control strings; in texts `<`, any backslashes and
-`|` gain one backslash after the `<`, so no text holds a control string and
-taking one away gives the text back.
+flattens them in order: image, audio and document parts become placeholders, and
+each attachment's reference, place and expanded token count is recorded; text
+parts with nothing between them are one text, which is escaped as a whole. Turns
+are marked by control strings; in texts `<`, any backslashes and `|` gain one
+backslash after the `<`, so no text holds a control string and taking one away
+gives the text back.
 """
 
 from __future__ import annotations
@@ -43,13 +44,27 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("tokens")))
 
 
+#: In a body under way: a sign that no text holds, then the kind of a placeholder; the sign itself, where a text has it, gains a letter.
+_SIGN, _LETTERS, _OWN = "\0", dict(zip(PLACEHOLDERS, "iad", strict=True)), "\0t"
+
+
 def _visited(part: Column) -> Column:
-    out = F.when(part["type"] == "text", escaped(F.coalesce(part["text"], F.lit(""))))
-    for kind, mark in PLACEHOLDERS.items():
-        out = out.when(part["type"] == kind, F.lit(mark))
+    """A part before escaping: its text, or the sign of its kind; other kinds give nothing."""
+    out = F.when(part["type"] == "text", F.replace(F.coalesce(part["text"], F.lit("")), F.lit(_SIGN), F.lit(_OWN)))
+    for kind, letter in _LETTERS.items():
+        out = out.when(part["type"] == kind, F.lit(_SIGN + letter))
     return out.otherwise(F.lit(""))
 
 
+def _runs(parts: Column) -> Column:
+    """The escaped texts before, between and after the placeholders. Neighbouring texts are escaped as one, as a control string can lie across them."""
+    return F.split(escaped(F.array_join(F.transform(parts, _visited), "")), f"{_SIGN}[{''.join(_LETTERS.values())}]", -1)
+
+
+def _plain(run: Column) -> Column:
+    return F.replace(run, F.lit(_OWN), F.lit(_SIGN))
+
+
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "content", loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, n_turns, loss_spans, attachments, expanded_tokens: one row per conversation.
 
@@ -63,30 +78,25 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     The turns of a conversation are sorted by the shuffle, which can spill; only the
     finished conversation is gathered in one row.
     """
-    body = F.array_join(F.transform("parts", _visited), "")
     rows = messages.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(content), F.array().cast(f"array<{PART}>")).alias("parts")
     )
-    rows = rows.withColumn("head", F.concat(F.lit(START), role_escaped(F.col("role")), F.lit("\n"))).withColumn("body", body)
+    rows = rows.withColumn("runs", F.transform(_runs(F.col("parts")), _plain)).withColumn("parts", F.filter("parts", lambda p: p["type"].isin(list(PLACEHOLDERS))))
+    marks = F.transform("parts", lambda p: F.element_at(F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv]), p["type"]))
+    rows = rows.withColumn("marks", marks).withColumn("body", F.array_join(F.transform("runs", lambda r, i: F.concat(r, F.coalesce(F.get("marks", i), F.lit("")))), ""))
+    rows = rows.withColumn("head", F.concat(F.lit(START), role_escaped(F.col("role")), F.lit("\n")))
     rows = rows.withColumn("n_head", F.length("head")).withColumn("n_body", F.length("body"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "body", F.xxhash64("parts"))
     whole = F.col("n_head") + F.col("n_body") + F.lit(len(END) + 1)
     rows = rows.withColumn("place", F.row_number().over(order) - 1).withColumn("at", F.sum(whole).over(order.rowsBetween(Window.unboundedPreceding, 0)) - whole + F.col("n_head"))
-    # attachments of a turn, with the place of each placeholder
-    state = F.aggregate(
+    # attachments of a turn: each placeholder stands after the texts and placeholders before it
+    before = lambda i: F.aggregate(F.slice("runs", 1, i + 1), F.lit(0), lambda n, r: n + F.length(r)) + F.aggregate(F.slice("marks", 1, i), F.lit(0), lambda n, m: n + F.length(m))
+    found = F.transform(
         "parts",
-        F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<turn:int,position:long,type:string,ref:string,tokens:int>>").alias("found")),
-        lambda s, p: F.struct(
-            (s["n"] + F.length(_visited(p))).cast("long").alias("n"),
-            F.when(
-                p["type"].isin(list(PLACEHOLDERS)),
-                F.concat(s["found"], F.array(F.struct(F.col("place").cast("int").alias("turn"), (F.col("at") + s["n"]).cast("long").alias("position"), p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(1)).alias("tokens")))),
-            ).otherwise(s["found"]).alias("found"),
-        ),
-        lambda s: s["found"],
-    )
+        lambda p, i: F.struct(F.col("place").cast("int").alias("turn"), (F.col("at") + before(i)).cast("long").alias("position"), p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(1)).alias("tokens")),
+    )
     rows = rows.select(
-        "conv_id", "place", F.concat("head", "body", F.lit(END + "\n")).alias("piece"), F.when(F.col("role") == loss_role, F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n_body")).alias("end"))).alias("span"), state.alias("found")
+        "conv_id", "place", F.concat("head", "body", F.lit(END + "\n")).alias("piece"), F.when(F.col("role") == loss_role, F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n_body")).alias("end"))).alias("span"), found.alias("found")
     )
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "piece", "span", "found"))).alias("turns"))
     attachments = F.flatten(F.transform("turns", lambda t: t["found"]))
