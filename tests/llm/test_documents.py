@@ -135,6 +135,33 @@ def test_base_spans_and_structures(spark):
     assert not added[1] and not added[2]
 
 
+def test_open_markers_take_linear_time():
+    """Each BEGIN without an END once made a search to the end of the text."""
+    import time
+
+    began = time.perf_counter()
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" * 20_000 + "a.b" * 100_000 + "A: " * 100_000
+    assert secrets.spans_of(text.encode()) == []
+    assert time.perf_counter() - began < 5
+    # the last BEGIN before an END is the one it closes
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4\n" + base64.b64encode(KEY).decode() + "\n-----END RSA PRIVATE KEY-----"
+    found = secrets.spans_of(("-----BEGIN RSA PRIVATE KEY----- and " + pem + " -----END RSA PRIVATE KEY-----").encode())
+    assert [(s, e, secrets.KINDS[k]) for s, e, k in found if k > 2] == [(36, 36 + len(pem), "pem")]
+
+
+def test_no_gate_hides_a_structure():
+    header = base64.urlsafe_b64encode(b' {"alg":"HS256"}').rstrip(b"=").decode()
+    token = f"{header}.{TOKEN.split('.')[1]}.{TOKEN.split('.')[2]}"
+    assert "eyJ" not in header and [k for _, _, k in secrets.spans_of(f"x {token}".encode())] == [secrets.KINDS.index("jwt")]
+    lines = re.findall(".{1,64}", base64.b64encode(KEY).decode())
+    for end in ("\n", "\r\n"):
+        for after in ("", "\nplain words follow"):
+            text = "key:\n" + end.join(lines) + after
+            assert [(text[s:e].split(), k) for s, e, k in secrets.spans_of(text.encode()) if k > 2] == [(lines, secrets.KINDS.index("key64"))]
+    url = base64.urlsafe_b64encode(KEY.replace(bytes([6] * 40), b"\xfb\xff" * 20)).decode()
+    assert ("-" in url or "_" in url) and [k for _, _, k in secrets.spans_of(url.encode()) if k > 2] == [secrets.KINDS.index("key64")]
+
+
 def test_redaction(spark):
     rows = [(1, "my token=abcdefgh ok"), (2, "clean"), (3, None), (4, f"a {TOKEN} b")]
     before = docs(spark, rows)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -29,14 +30,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])")
+#: Whole lines of base64 may go on, the last one shorter; and base64 of the kind for URLs.
+_B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{40,})*(?:\r?\n[A-Za-z0-9+/]+)?={0,2}(?![A-Za-z0-9+/=])")
+_B64_LINE = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+_URL64 = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}(?![A-Za-z0-9_=-])")
 _HEXKEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 
 #: Which bytes can be in a run that a candidate needs; all else becomes a blank.
 _HEX_RUN = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
-_B64_RUN = bytes(120 if c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/" else 32 for c in range(256))
+_ALNUM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_B64_RUN = bytes(120 if c in _ALNUM + b"+/" else 32 for c in range(256))
+_URL_RUN = bytes(120 if c in _ALNUM + b"_-" else 46 if c == 46 else 32 for c in range(256))
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 _OPENSSH = b"openssh-key-v1\0"
 
@@ -110,13 +116,50 @@ def is_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and _unpadded(payload, urlsafe=True) is not None
 
 
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """Blocks whose content is a private key. Each END belongs to the last open BEGIN of its label; one pass over the markers."""
+    begun: dict[str, re.Match] = {}
+    out = []
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begun[m[2]] = m
+        elif (first := begun.pop(m[2], None)) is not None:
+            lines = text[first.end() : m.start()].replace("\\r", "").replace("\\n", "\n").split("\n")
+            data = _unpadded("".join("".join(line.split()) for line in lines if ":" not in line))
+            if is_key(data) or "ENCRYPTED" in m[2] and der_fields(data or b""):
+                out.append((first.start(), m.end()))
+    return out
+
+
+def key_spans(text: str) -> list[tuple[int, int]]:
+    """Base64 runs that are keys: lines that belong together, without a short last line, or each line alone."""
+    out = []
+    for m in _B64.finditer(text):
+        lines = m[0].split()
+        if is_key(_unpadded("".join(lines))):
+            out.append((m.start(), m.end()))
+        elif len(lines) > 1 and len(lines[-1]) < len(lines[0]) and is_key(_unpadded("".join(lines[:-1]))):
+            out.append((m.start(), m.start() + len(m[0][: -len(lines[-1])].rstrip("\r\n"))))
+        elif len(lines) > 1:
+            out += [(m.start() + x.start(), m.start() + x.end()) for x in _B64_LINE.finditer(m[0]) if is_key(_unpadded(x[0]))]
+    for m in _URL64.finditer(text):
+        if ("-" in m[0] or "_" in m[0]) and is_key(_unpadded(m[0], urlsafe=True)):
+            out.append((m.start(), m.end()))
+    return out
+
+
 def spans_of(raw: bytes) -> list[tuple[int, int, int]]:
-    """(start, end, number of kind) in code points, sorted by start, then kind, then end."""
+    """(start, end, number of kind) in code points, sorted by start, then kind, then end.
+
+    What is looked for first only rules out texts that cannot hold a match; an
+    empty text has none. The time grows in proportion to the text.
+    """
     lower = raw.lower()
     out: list[tuple[int, int, int]] = []
     assign, access = any(w in lower for w in _WORDS), b"AKIA" in raw
-    hexes, long64 = b"x" * HEX_LEAST in raw.translate(_HEX_RUN), b"x" * 40 in raw.translate(_B64_RUN)
-    dotted, pem = b"eyJ" in raw or b"." in raw and b"ey" in raw, b"-----BEGIN" in raw
+    runs = raw.translate(_URL_RUN)
+    hexes, dotted = b"x" * HEX_LEAST in raw.translate(_HEX_RUN), b"x" * 8 + b".xx" in runs
+    long64, pem = b"x" * 40 in runs or b"x" * 40 in raw.translate(_B64_RUN), b"-----BEGIN" in raw
     if not (assign or access or hexes or long64 or dotted or pem):
         return out
     text = raw.decode("utf-8", "replace")
@@ -126,18 +169,16 @@ def spans_of(raw: bytes) -> list[tuple[int, int, int]]:
         out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     if hexes:
         out += [(m.start(), m.end(), 2) for m in HEX.finditer(text) if m.end() - m.start() >= HEX_LEAST]
-    if pem:
-        for m in _PEM.finditer(text):
-            body = re.sub(r"[A-Za-z-]+: .*|\s", "", m[2])
-            if is_key(_unpadded(body)) or "ENCRYPTED" in m[1] and der_fields(_unpadded(body) or b""):
-                out.append((m.start(), m.end(), 3))
+    inside = pem_spans(text) if pem else []
+    out += [(s, e, 3) for s, e in inside]
     if dotted:
         out += [(m.start(), m.end(), 4) for m in _JWT.finditer(text) if is_token(m[1], m[2])]
     if long64:
-        inside = [(s, e) for s, e, k in out if k == 3]
-        for m in _B64.finditer(text):
-            if is_key(_unpadded(m[0])) and not any(s <= m.start() < e for s, e in inside):
-                out.append((m.start(), m.end(), 5))
+        ends = [e for _, e in inside]
+        for s, e in key_spans(text):
+            i = bisect.bisect_right(ends, s)
+            if i == len(inside) or s < inside[i][0]:
+                out.append((s, e, 5))
         for m in _HEXKEY.finditer(text):
             if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
                 out.append((m.start(), m.end(), 6))
@@ -147,8 +188,10 @@ def spans_of(raw: bytes) -> list[tuple[int, int, int]]:
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and found, an array of (kind, start, end), for every row of docs.
 
-    Whole texts are searched; a null text is empty, so nothing is found. Repeated
-    rows give repeated results. One pass, no shuffle.
+    Whole texts are searched, in time proportional to their length; a null or
+    empty text has no findings. Repeated rows give repeated results, nulls in other
+    columns and extra columns change nothing, an empty table gives no rows. One
+    pass, no shuffle.
     """
     source = docs.select(F.col(id_column).alias("doc_id"), text_bytes(text_column).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
