@@ -38,7 +38,7 @@ def expressions(host: Column, path: Column, path_lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, p)))))
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = "allow", max_path_lengths: int = 4096) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = "allow", lengths_at_once: int = 512) -> DataFrame:
     """id, host, path, rule, verdict for every row of pages.
 
     Urls that repeat are judged once. A null url, or one without ://, has an empty
@@ -47,22 +47,26 @@ def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_co
     first slash on). Of rules of equal length the one with the longer host wins,
     then block, so the result is defined for any rules; repeated rules are one; null
     rules, and rules without a slash, fit nothing. The distinct lengths of the
-    rules' paths are collected; beyond `max_path_lengths` of them an error says so.
+    rules' paths (whole numbers up to the longest path) are collected; for every
+    `lengths_at_once` of them the urls are expanded and joined once.
     """
     own = rules.where("rule is not null and instr(rule, '/') > 0 and action is not null").select("action", F.concat(F.translate(F.substring_index("rule", "/", 1), UPPER, LOWER), F.expr("substring(rule, instr(rule, '/'))")).alias("rule")).distinct()
     own = own.withColumn("host_length", F.expr("instr(rule, '/') - 1")).withColumn("digest", F.sha2("rule", 256))
     own = own.groupBy("rule", "host_length", "digest").agg(F.max("action").alias("action"))  # block > allow
     own = own.withColumn("prefix", F.substring("digest", 1, 8)).select("prefix", F.col("digest").alias("rule_digest"), "rule", "action", "host_length")
-    lengths = sorted(r.n for r in own.select((F.length("rule") - F.col("host_length")).alias("n")).distinct().limit(max_path_lengths + 1).collect())
-    if len(lengths) > max_path_lengths:
-        raise ValueError(f"the rules' paths have over {max_path_lengths} different lengths")
+    lengths = sorted(r.n for r in own.select((F.length("rule") - F.col("host_length")).alias("n")).distinct().collect())
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"))
-    urls = rows.select("url").distinct().where("url is not null")
-    if not lengths:
-        lengths = [0]
-    expanded = urls.select("url", F.explode(expressions(host_of(F.col("url")), path_of(F.col("url")), lengths)).alias("expression"))
-    expanded = expanded.withColumn("digest", F.sha2("expression", 256)).select("url", "digest", F.substring("digest", 1, 8).alias("prefix"))
-    fits = expanded.join(own, "prefix").where("digest = rule_digest")
+    judged = F.coalesce(F.contains("url", F.lit("://")), F.lit(False))  # all else fits no rule, and would meet in one task
+    urls = rows.where(judged).select("url").distinct()
+    fits = None
+    for at in range(0, max(len(lengths), 1), lengths_at_once):
+        some = lengths[at : at + lengths_at_once] or [0]
+        expanded = urls.select("url", F.explode(expressions(host_of(F.col("url")), path_of(F.col("url")), some)).alias("expression"))
+        expanded = expanded.withColumn("digest", F.sha2("expression", 256)).select("url", "digest", F.substring("digest", 1, 8).alias("prefix"))
+        found = expanded.join(own, "prefix").where("digest = rule_digest").select("url", "rule", "host_length", "action")
+        fits = found if fits is None else fits.unionByName(found)
     rank = F.struct(F.length("rule"), "host_length", "action", "rule")
     best = fits.groupBy("url").agg(F.max(rank).alias("best")).select("url", F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict"))
-    return rows.join(best, "url", "left").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    known = rows.where(judged).join(best, "url", "left").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    empty = F.lit("")
+    return known.unionByName(rows.where(~judged).select("page_id", empty.alias("host"), empty.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
