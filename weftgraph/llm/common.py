@@ -41,6 +41,35 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class RowNumbers:
+    """Numbers for the rows of one task, different from those of any other task of the job; fixed once the rows are written."""
+
+    def __init__(self) -> None:
+        from pyspark import TaskContext
+
+        self.at = TaskContext.get().partitionId() << 36
+
+    def take(self, n: int) -> pa.Array:
+        self.at += n
+        return pa.array(np.arange(self.at - n, self.at), pa.int64())
+
+
+def joined_spread(rows: DataFrame, side: DataFrame, key: str, least: int = 100_000) -> DataFrame:
+    """rows inner-joined on key with side, which has one row for each key.
+
+    Keys that hold over `least` rows and a ten-thousandth of all (so at most 10,000
+    keys) are sent to all tasks with their one row; the others meet by a shuffle.
+    Null keys join nothing.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = [r[0] for r in counts.where((F.col("__n") > max(least, total // 10_000)) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return rows.join(side, key)
+    keys = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], f"{key} {rows.schema[key].dataType.simpleString()}"))
+    return rows.join(F.broadcast(side.join(keys, key, "left_semi")), key).unionByName(rows.join(keys, key, "left_anti").join(side, key))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished, written steps.
 

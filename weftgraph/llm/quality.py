@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftgraph.llm.common import fold, picked, saved, text_bytes
+from weftgraph.llm.common import RowNumbers, fold, picked, saved, text_bytes
 from weftgraph.llm.trees import Calibrated
 
 #: Groups of bytes whose shares are features.
@@ -70,7 +70,12 @@ def shape(text: bytes) -> list[float]:
 
 @dataclass
 class QualityModel:
-    """sample_rows: at most so many labelled rows are fitted, those of least hash."""
+    """sample_rows: at most so many labelled rows are fitted, those of least hash.
+
+    Null ids and labels are left out, a repeated id counts once (its largest label);
+    empty and null texts have features of zero, very long ones are read whole;
+    without labelled rows every text gets 0.5.
+    """
 
     model: Calibrated
     labelled: int
@@ -97,72 +102,108 @@ class QualityModel:
         place = np.array([(r.id * 2654435761 >> 7) % 4 for r in got], np.int64)
         return cls(Calibrated.fit(x, y, place), len(got))
 
-    def evidence(self, docs: DataFrame, text_column: str = "text", name: str = "evidence") -> DataFrame:
-        """docs with one more column (double): the document classifier's probability of good quality."""
+    def evidence(self, docs: DataFrame, text_column: str = "text", name: str = "evidence", row_name: str | None = None) -> DataFrame:
+        """docs with one more column (double): the document classifier's probability of good quality.
+
+        row_name: a column with a number for each row as well, fixed once the result is written.
+        """
         model = docs.sparkSession.sparkContext.broadcast(self.model)
         names = docs.columns
         source = docs.withColumn("__weft_text", text_bytes(text_column))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers = RowNumbers()
             for batch in batches:
                 x = np.array([shape(t) for t in batch.column(len(names)).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
                 p = np.clip(model.value.predict(x), 1e-6, 1 - 1e-6)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p)], names=[*names, name])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p), numbers.take(batch.num_rows)], names=[*names, name, row_name or "__row"])
 
-        return source.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{name}` double")
+        out = f"{', '.join([*(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema), f'`{name}` double', f'`{row_name or "__row"}` long'])}"
+        made = source.mapInArrow(run, out)
+        return made if row_name else made.drop("__row")
 
 
-def _strength(sites: DataFrame, mean: float, least: float = 2.0, most: float = 10_000.0) -> float:
-    """Pseudo-documents of the prior, from the spread of site means beyond chance (method of moments)."""
-    row = sites.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * (F.col("s") / F.col("n") - F.lit(mean)) ** 2).alias("v")).first()
-    if not row.k or row.k < 2:
-        return most
-    inside = mean * (1 - mean)
-    scale = row.n - row.nn / row.n
-    between = (row.v - (row.k - 1) * inside) / scale if scale > 0 else 0.0
+def _strength(between: float, inside: float, least: float = 2.0, most: float = 10_000.0) -> float:
+    """Pseudo-documents of a prior: the variance inside a site over that between sites, less one."""
     return float(min(most, max(least, inside / between - 1))) if between > 0 else most
 
 
+def strengths(paths: DataFrame, hosts: DataFrame, mean: float) -> tuple[float, float]:
+    """(of hosts toward the mean, of paths toward their host), by the method of moments: the spread of means beyond chance.
+
+    paths: site_host, n, s, nh, sh; hosts: n, s.
+    """
+    h = hosts.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * (F.col("s") / F.col("n") - F.lit(mean)) ** 2).alias("v")).first()
+    inside = mean * (1 - mean)
+    scale = h.n - h.nn / h.n if h.n else 0.0
+    kh = _strength((h.v - (h.k - 1) * inside) / scale, inside) if scale > 0 else _strength(0.0, inside)
+    # a path's spread is about its own host's mean
+    host = F.col("sh") / F.col("nh")
+    p = paths.agg(
+        F.count("*").alias("k"), F.count_distinct("site_host", F.col("site_host").isNull()).alias("h"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / F.col("nh")).alias("nn"),
+        F.sum(F.col("n") * (F.col("s") / F.col("n") - host) ** 2).alias("v"), F.sum(F.col("n") * host * (1 - host)).alias("inside"),
+    ).first()
+    scale = p.n - p.nn if p.n else 0.0
+    inside = p.inside / p.n if p.n else 0.0
+    kp = _strength((p.v - (p.k - hosts.count()) * inside) / scale, inside) if scale > 0 else _strength(0.0, inside)
+    return kh, kp
+
+
 def logit(p: Column) -> Column:
     p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.log(p / (1 - p))
 
 
-def site_posteriors(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, float]:
+def site_posteriors(scored: DataFrame, host: str, path: str, evidence: str = "evidence") -> tuple[DataFrame, float]:
     """A row per (host, path): n, s of the path, nh, sh of the host; the strengths as columns; the global mean."""
-    paths = saved(scored.groupBy(F.col(host).alias("site_host"), F.col(path).alias("site_path")).agg(F.count("*").cast("double").alias("n"), F.sum("evidence").alias("s")), "paths")
+    paths = saved(scored.groupBy(F.col(host).alias("site_host"), F.col(path).alias("site_path")).agg(F.count("*").cast("double").alias("n"), F.sum(evidence).alias("s")), "paths")
     hosts = saved(paths.groupBy("site_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = min(max(total.s / total.n, 1e-4), 1 - 1e-4) if total.n else 0.5
-    kh, kp = _strength(hosts, mean), _strength(paths, mean)
     sites = paths.join(hosts.select(F.col("site_host").alias("h"), F.col("n").alias("nh"), F.col("s").alias("sh")), F.col("site_host").eqNullSafe(F.col("h"))).drop("h")
+    kh, kp = strengths(sites, hosts, mean)
     return saved(sites.withColumn("kh", F.lit(kh)).withColumn("kp", F.lit(kp)), "sites"), mean
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", host: str = "source", path: str = "lang", label_column: str = "quality", threshold: float = 0.5, sample_rows: int = 20_000, train: Column | None = None, prefix: str = "") -> DataFrame:
+#: So many sites (some 100 bytes each) go to all tasks; more of them meet the documents' narrow rows in a shuffle.
+BROADCAST_SITES = 200_000
+
+
+def classify(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", host: str = "source", path: str = "lang", label_column: str = "quality", threshold: float = 0.5,
+    sample_rows: int = 20_000, train: Column | None = None, prefix: str = "", columns: list[str] | None = None, broadcast_sites: int = BROADCAST_SITES,
+) -> DataFrame:
     """docs with evidence, site (the site's posterior without the document), quality (their combination) and keep.
 
-    Documents without a host or path form a site of nulls; null and empty texts have
-    features of zero; rows that repeat count each; without labels every text has the
-    evidence 0.5 and stays; an empty table gives no rows. The added columns are named
-    with `prefix`; columns of docs with these names are replaced. A host with a third
-    of the documents is summed in partial aggregates.
+    columns: those of docs that are returned (all by default). Each text is scored
+    once; the scored rows are written with these columns and read again. Documents
+    without a host or path form a site of nulls; null and empty texts have features
+    of zero; rows that repeat count each; without labels every text has the evidence
+    0.5 and stays; an empty table gives no rows. The added columns are named with
+    `prefix`; columns of docs with these names are replaced. A host with a third of
+    the documents is summed in partial aggregates, and no text is shuffled by host.
     """
     added = [prefix + n for n in ("evidence", "site", "quality", "keep")]
     model = QualityModel.fit(docs, labels, id_column, text_column, label_column, sample_rows, train)
-    facts = docs.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(text_column).alias("text"))
-    sites, mean = site_posteriors(model.evidence(facts, "text", "evidence").select("host", "path", "evidence"), "host", "path")
-    sites = sites.select(F.col("site_host").alias("__weft_host"), F.col("site_path").alias("__weft_path"), F.struct("n", "s", "nh", "sh", "kh", "kp").alias("__weft_site"))
+    wanted = [c for c in (docs.columns if columns is None else columns) if c not in added]
     # under their own names until the end, so that no column of docs can be taken for them
-    scored = model.evidence(docs, text_column, "__weft_evidence")
+    keyed = docs.select(*[F.col(c) for c in wanted], F.col(host).alias("__weft_h"), F.col(path).alias("__weft_p"), F.col(text_column).alias("__weft_t"))
+    scored = saved(model.evidence(keyed, "__weft_t", "__weft_evidence", "__weft_row").drop("__weft_t"), "scored")
+    sites, mean = site_posteriors(scored, "__weft_h", "__weft_p", "__weft_evidence")
+    few = sites.count() <= broadcast_sites
+    sites = sites.select(F.col("site_host").alias("__weft_host"), F.col("site_path").alias("__weft_path"), F.struct("n", "s", "nh", "sh", "kh", "kp").alias("__weft_site"))
     own, at = F.col("__weft_evidence"), lambda n: F.col("__weft_site")[n]
-    joined = scored.join(sites, F.col(host).eqNullSafe(F.col("__weft_host")) & F.col(path).eqNullSafe(F.col("__weft_path")))
     up = (at("sh") - own + at("kh") * F.lit(mean)) / (at("nh") - 1 + at("kh"))
     site = (at("s") - own + at("kp") * up) / (at("n") - 1 + at("kp"))
     both = 1 / (1 + F.exp(-(logit(own) - F.lit(float(np.log(mean / (1 - mean)))) + logit(F.col("__weft_prior")))))
-    joined = joined.withColumn("__weft_prior", site).withColumn("__weft_both", both)
+    same = F.col("__weft_h").eqNullSafe(F.col("__weft_host")) & F.col("__weft_p").eqNullSafe(F.col("__weft_path"))
+    if few:
+        joined = scored.join(F.broadcast(sites), same).withColumn("__weft_prior", site).withColumn("__weft_both", both)
+    else:
+        narrow = scored.select("__weft_row", "__weft_h", "__weft_p", "__weft_evidence").join(sites, same).withColumn("__weft_prior", site).withColumn("__weft_both", both)
+        joined = scored.join(narrow.select("__weft_row", "__weft_prior", "__weft_both"), "__weft_row")
     values = [own, F.col("__weft_prior"), F.col("__weft_both"), F.col("__weft_both") >= threshold]
-    return joined.select(*[c for c in docs.columns if c not in added], *[v.alias(n) for v, n in zip(values, added, strict=True)])
+    return joined.select(*wanted, *[v.alias(n) for v, n in zip(values, added, strict=True)])
 
 
 def held_out(id_column: str = "doc_id") -> Column:

@@ -43,7 +43,7 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = quality.held_out("doc_id")
-    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=fold("id", 4) != 2)
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=fold("id", 4) != 2, columns=["doc_id"])
     return judged.select("doc_id", held.alias("held_out"), "evidence", "site", "quality", F.col("keep"))
 
 
