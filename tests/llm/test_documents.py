@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -393,6 +394,55 @@ def test_quality_on_held_out_rows(spark):
     assert quality.classify(rows.limit(0), labels).count() == 0
 
 
+def plain_sites(rows):
+    """(host, path) -> (n, s, nh, sh), both strengths, the mean; rows: (host, path, evidence)."""
+    n, s = {}, {}
+    for h, p, e in rows:
+        for key in ((h, p), (h,), ()):
+            n[key], s[key] = n.get(key, 0) + 1, s.get(key, 0) + e
+    mean = min(max(s[()] / n[()], 1e-4), 1 - 1e-4)
+    hosts, paths = [k for k in n if len(k) == 1], [k for k in n if len(k) == 2]
+
+    def strength(sites, parent, inside, lost):
+        total = sum(n[k] for k in sites)
+        spread = sum(n[k] * (s[k] / n[k] - parent(k)) ** 2 for k in sites)
+        scale = total - sum(n[k] ** 2 / n[k[:-1]] for k in sites)
+        between = (spread - (len(sites) - lost) * inside) / scale if scale > 0 else 0
+        return min(10_000, max(2, inside / between - 1)) if between > 0 else 10_000
+
+    kh = strength(hosts, lambda k: mean, mean * (1 - mean), 1)
+    inside = sum(n[k] * s[k[:1]] / n[k[:1]] * (1 - s[k[:1]] / n[k[:1]]) for k in paths) / n[()]
+    kp = strength(paths, lambda k: s[k[:1]] / n[k[:1]], inside, len(hosts))
+    return {k: (n[k], s[k], n[k[:1]], s[k[:1]]) for k in paths}, kh, kp, mean
+
+
+@pytest.mark.parametrize("broadcast_sites", [0, 1000])
+def test_quality_beside_plain_python(spark, broadcast_sites):
+    rows, labels = marked(spark)
+    model = quality.QualityModel.fit(rows, labels).model
+    judged = quality.classify(rows, labels, prefix="q_", broadcast_sites=broadcast_sites).collect()
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    own = [float(np.clip(model.predict(np.array([quality.shape((r.text or "").encode())])), 1e-6, 1 - 1e-6)[0]) for r in judged]
+    sites, kh, kp, mean = plain_sites([(r.source, r.lang, e) for r, e in zip(judged, own, strict=True)])
+    assert len(judged) == rows.count() and 2 <= kp <= 10_000
+    for r, e in zip(judged, own, strict=True):
+        n, s, nh, sh = sites[r.source, r.lang]
+        up = (sh - e + kh * mean) / (nh - 1 + kh)
+        site = (s - e + kp * up) / (n - 1 + kp)
+        both = 1 / (1 + math.exp(-(logit(e) - math.log(mean / (1 - mean)) + logit(site))))
+        assert (r.q_evidence, r.q_site, r.q_quality) == pytest.approx((e, site, both)) and r.q_keep == (r.q_quality >= 0.5)
+
+
+def test_strengths_of_paths_are_about_their_hosts(spark):
+    """Hosts differ, paths within a host do not: hosts stand for themselves, paths lean on their host."""
+    rng = np.random.default_rng(3)
+    rows = [(f"h{h}", f"p{p}", float(rng.random() < 0.1 + 0.2 * h)) for h in range(5) for p in range(4) for _ in range(50)]
+    sites, _ = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, evidence double"), "host", "path")
+    got = sites.first()
+    _, kh, kp, _ = plain_sites(rows)
+    assert (got.kh, got.kp) == pytest.approx((kh, kp)) and got.kh < 10 < 50 < got.kp
+
+
 def test_sites_shrink_toward_their_parents(spark):
     """A site's posterior, without the document, by hand."""
     rows = spark.createDataFrame([("a", "x", p) for p in [0.9] * 50 + [0.8] * 50] + [("b", "x", 0.1)] * 40 + [("b", "y", 0.3), (None, None, 0.5)], "host string, path string, evidence double")
@@ -429,6 +479,52 @@ def test_toxicity_keeps_the_balance_of_classes(spark, monkeypatch):
         assert (weight * y).sum() / weight.sum() == pytest.approx(0.2)
 
 
+def plain_features(text, lexicon, weight):
+    """The dense features by their definitions; lexicon: whole words, starts: word beginnings."""
+    words = text.split()
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+    low = [toxicity.plain(w) for w in words]
+    whole = [w in lexicon for w in low]
+    begin = [any(w[:n] + "*" in lexicon for n in (4, 5, 6) if len(w) >= n) for w in low]
+    either = [a or b for a, b in zip(whole, begin, strict=True)]
+    you = [w in toxicity.SECOND for w in low]
+    near = sum(any(you[max(0, i - 5) : i + 6]) for i, e in enumerate(either) if e)
+    core = [w.strip(toxicity.EDGES) for w in words]
+    masked = [any(c in "@4013$5!7*" for c in c0) and any(c.isalpha() for c in c0) for c0 in core]
+    found = {w for w, e in zip(words, either, strict=True) if e}
+    best = {w: max([weight.get(toxicity.plain(w), 0)] + [weight.get(toxicity.plain(w)[:n] + "*", 0) for n in (4, 5, 6) if len(toxicity.plain(w)) >= n]) for w in found}
+    n, at = len(words), [i for i, e in enumerate(either) if e]
+    return [
+        100 * sum(whole) / n, math.log1p(sum(whole)), 100 * sum(begin) / n, math.log1p(sum(begin)), 100 * near / n, 100 * sum(you) / n, sum(len(c) > 2 and c.isupper() for c in core) / n, sum(masked) / n,
+        math.log1p(sum(m and e for m, e in zip(masked, either, strict=True))), sum(w.endswith("!") for w in words) / n, sum("A" <= c <= "Z" for c in text) / len(text.encode()),
+        sum(c in ".,;:?!\"'()[]{}<>#%&*$+=|/\\~^_-@" for c in text) / len(text.encode()), math.log1p(n), math.log1p(len(found)), (at[-1] - at[0]) / n if at else 0.0, sum(best.values()) / (1 + len(found)),
+    ]
+
+
+def test_toxic_features_beside_plain_ones():
+    long = "x" * 300
+    counts = {"moron": (9, 0), "stup*": (9, 1), "rare": (2, 0), "even": (9, 9), toxicity.terms(long)[0]: (8, 0)}
+    lexicon = toxicity.Lexicon(counts, 10, 100)
+    weight = {t: lexicon.weight(t) for t in counts}
+    assert weight["rare"] == weight["even"] == 0 and weight["moron"] > weight["stup*"] > 0 and len(toxicity.terms(long)[0]) < 40
+    lex = {t for t, w in weight.items() if w}
+    codes = toxicity.WordCodes(lexicon)
+    for text in ("", "you M0R0N, you STUPID thing!! rare even é", "a b c d e f g moron h i j k you", "Stu stup stupefied MORON moron! m*ron @$5", "you " * 9000 + "moron"):
+        assert toxicity.features(text.encode(), codes) == pytest.approx(plain_features(text, lex, weight)), text
+    # a word of any length can be in the lexicon
+    assert toxicity.features(long.encode(), codes)[0] == 100
+
+
+def test_lexicon_counts_documents(spark):
+    """Rows that repeat an id count in sums and totals alike, long words as well."""
+    long = "q" * 60
+    rows = [(i, f"zzgrub {long} " + "word " * (i % 3), *["s"] * 2, 1, 1, "x", "y", 2) for i in range(8)] * 3 + [(i, "word other", "s", "s", 1, 1, "x", "y", 2) for i in range(20, 40)]
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    lexicon = toxicity.ToxicityModel.fit(spark.createDataFrame(rows, SCHEMA), labels).lexicon
+    assert (lexicon.toxic, lexicon.clean) == (24, 20) and lexicon.counts["zzgrub"] == (24, 0) and lexicon.counts[toxicity.terms(long)[0]] == (24, 0)
+
+
 def test_calibration_is_monotone():
     from weftgraph.llm.trees import BoostedTrees, Isotonic
 

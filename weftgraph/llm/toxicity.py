@@ -7,15 +7,17 @@ of the second person, capitals, punctuation and obfuscation rates.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftgraph.llm.common import picked, record_batch, text_bytes
+from weftgraph.llm.common import picked, record_batch, saved, text_bytes
 from weftgraph.llm.trees import Calibrated
 
 #: Words of the second person in English, German, French and Spanish.
@@ -26,6 +28,10 @@ SIGNS = str.maketrans("@4013$5!7", "aaoiessit")
 EDGES = ".,;:?!\"'()[]{}<>#%&*$+=|/\\~^_-"
 #: Lengths of the word beginnings that can be in the lexicon.
 BEGINNINGS = (4, 5, 6)
+#: Words of so many letters are counted by a digest.
+LONG = 40
+#: Stands for the document itself among the counted terms.
+DOCUMENT = ""
 
 LEX, BEGIN, YOU, CAPS, MASKED, BANG = 1, 2, 4, 8, 16, 32
 FEATURES = ["lex_density", "lex_count", "begin_density", "begin_count", "near_you", "you_density", "caps", "masked", "masked_lex", "bang", "upper", "punct", "log_words", "distinct_lex", "lex_spread", "strength"]
@@ -38,8 +44,23 @@ def plain(word: str) -> str:
 
 
 def terms(word: str) -> list[str]:
-    """What of a word can be in the lexicon: itself, and its beginnings (marked by a star)."""
-    return [word, *[word[:n] + "*" for n in BEGINNINGS if len(word) >= n]]
+    """What of a word can be in the lexicon: itself (a long one as its digest), and its beginnings (marked by a star)."""
+    whole = word if len(word) < LONG else "=" + hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=12).hexdigest()
+    return [whole, *[word[:n] + "*" for n in BEGINNINGS if len(word) >= n]]
+
+
+class Terms(dict):
+    """The terms of a raw word, remembered up to a fixed size."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, raw: bytes) -> list[str]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        found = terms(plain(raw.decode("utf-8", "replace")))
+        if len(raw) < LONG:
+            self[raw] = found
+        return found
 
 
 @dataclass
@@ -110,19 +131,19 @@ def features(text: bytes, codes: WordCodes, reach: int = 5) -> list[float]:
     marks = letters - len(text.translate(None, b".,;:?!\"'()[]{}<>#%&*$+=|/\\~^_-@"))
     return [
         100 * whole / n,
-        float(min(whole, 20)),
+        math.log1p(whole),
         100 * begin / n,
-        float(min(begin, 20)),
+        math.log1p(begin),
         100 * near / n,
         100 * len(you) / n,
         float(np.count_nonzero(c & CAPS)) / n,
         float(np.count_nonzero(c & MASKED)) / n,
-        float(np.count_nonzero((c & MASKED > 0) & (c & (LEX | BEGIN) > 0))),
+        math.log1p(np.count_nonzero((c & MASKED > 0) & (c & (LEX | BEGIN) > 0))),
         float(np.count_nonzero(c & BANG)) / n,
         upper / letters,
         marks / letters,
         math.log1p(n),
-        float(min(len(found), 20)),
+        math.log1p(len(found)),
         float(lex[-1] - lex[0]) / n if len(lex) else 0.0,
         sum(codes.weights.get(w, 0.0) for w in found) / (1 + len(found)),
     ]
@@ -135,35 +156,47 @@ class ToxicityModel:
     labelled: int
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, train: Column | None = None, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample_rows: int = 12_000, lexicon_toxic: int = 2_000, lexicon_clean: int = 4_000, lexicon_terms: int = 20_000) -> ToxicityModel:
-        """train: a condition on the column `id`. The bounds are on labelled rows, chosen by hash."""
+    def fit(
+        cls, docs: DataFrame, labels: DataFrame, train: Column | None = None, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
+        sample_rows: int = 12_000, lexicon_toxic: int = 8_000, lexicon_clean: int = 16_000, lexicon_terms: int = 20_000,
+    ) -> ToxicityModel:
+        """train: a condition on the column `id`. The bounds are on labelled rows, chosen by hash.
+
+        Null ids and labels are left out; a repeated id has its largest label. Rows
+        that repeat an id count each in the lexicon and once in the fit. Null and
+        empty texts have features of zero, very long ones are read whole; without
+        labelled rows every text gets the same score.
+        """
         marked = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).where("id is not null and label in (0, 1)")
         marked = marked.groupBy("id").agg(F.max("label").alias("label"))
         if train is not None:
             marked = marked.where(train)
+        marked = saved(marked, "labels")
         order = (F.xxhash64("id"), "id")
         # toxic rows are rare: half of the sample may be theirs
         part = lambda label, n: marked.where(F.col("label") == label).orderBy(*order).limit(n)
         texts = docs.select(F.col(id_column).alias("id"), text_bytes(text_column).alias("text"))
-        counted = part(1, lexicon_toxic).unionByName(part(0, lexicon_clean))
+        counted = saved(part(1, lexicon_toxic).unionByName(part(0, lexicon_clean)), "lexicon_rows")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+            of = Terms()
             for batch in batches:
                 seen: dict[str, list[int]] = {}
                 for text, label in zip(*picked(batch, "text", "label"), strict=True):
-                    words = {plain(w) for w in text.decode("utf-8", "replace").split()}
-                    for t in {t for w in words if len(w) < 40 for t in terms(w)}:
+                    for t in {DOCUMENT, *chain.from_iterable(of[w] for w in set(text.split()))}:
                         seen.setdefault(t, [0, 0])[1 - label] += 1
                 yield record_batch(out, [list(seen), [v[0] for v in seen.values()], [v[1] for v in seen.values()]])
 
         sums = texts.join(F.broadcast(counted), "id").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        n = {r.label: r.n for r in counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        odds = F.log((F.col("toxic") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (n.get(0, 0) + 1))
-        kept = sums.where("toxic >= 3").where(odds >= 2.0).orderBy(F.desc(odds * F.sqrt("toxic")), "term").limit(lexicon_terms).collect()
-        lexicon = Lexicon({r.term: (r.toxic, r.clean) for r in kept}, n.get(1, 0), n.get(0, 0))
+        sums = saved(sums, "lexicon_terms")
+        whole = sums.where(F.col("term") == DOCUMENT).first()
+        toxic, clean = (whole.toxic, whole.clean) if whole else (0, 0)
+        odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+        kept = sums.where("toxic >= 3").where(odds >= 2.0).where(F.col("term") != DOCUMENT).orderBy(F.desc(odds * F.sqrt("toxic")), "term").limit(lexicon_terms).collect()
+        lexicon = Lexicon({r.term: (r.toxic, r.clean) for r in kept}, toxic, clean)
         in_lexicon = F.broadcast(counted.select("id", F.lit(True).alias("counted")))
-        chosen = part(1, sample_rows // 2).unionByName(part(0, sample_rows))
+        chosen = saved(part(1, sample_rows // 2).unionByName(part(0, sample_rows)), "fitted_rows")
         shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
         def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +221,7 @@ class ToxicityModel:
         return cls(lexicon, Calibrated.fit(x, y, np.array([(r.id * 2654435761 >> 7) % 4 for r in rows], np.int64), weight=weight), len(rows))
 
     def score(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-        """doc_id, score (0 to 1) for every row of docs; null texts are empty. One pass, no shuffle."""
+        """doc_id, score (0 to 1) for every row of docs, and no other column of theirs; null texts are empty. One pass, no shuffle."""
         shared = docs.sparkSession.sparkContext.broadcast((self.lexicon, self.model))
         source = docs.select(F.col(id_column).alias("doc_id"), text_bytes(text_column).alias("text"))
         kind = source.schema["doc_id"].dataType.simpleString()
