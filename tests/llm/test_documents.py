@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftgraph.llm import packing, quality, secrets, simhash, toxicity
+from weftgraph.llm import decontam, packing, quality, secrets, simhash, toxicity
 from weftgraph.llm.components import connected_components
 from weftgraph.llm.decontam import Decontaminator, gram_hashes, winnow, words_of
 from weftgraph.llm.queries import tokenizer_path
@@ -44,14 +44,16 @@ def hit_words(text, items, size=10):
         for i in range(len(words) - n + 1):
             if own and tuple(words[i : i + n]) in windows:
                 hit |= set(range(i, i + n))
-                found.add(str(item))
+                found |= {str(item)} - {"None"}
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 7])
-def test_every_shared_window_is_hit(spark, bound):
+@pytest.mark.parametrize("bits", [1 << 22, 8])
+def test_every_shared_window_is_hit(spark, bits, monkeypatch):
+    """Also where the filters are so full that almost everything passes."""
+    monkeypatch.setattr(decontam, "MOST_BITS", bits)
     rnd = random.Random(4)
-    items = [(i, prose(rnd, rnd.choice([3, 9, 10, 11, 40]))) for i in range(12)] + [(90, ""), (91, None), (92, "Ab, éß c"), (93, "ab éß c"), (94, "x y " * 12)]
+    items = [(i, prose(rnd, rnd.choice([3, 9, 10, 11, 40]))) for i in range(12)] + [(90, ""), (91, None), (92, "Ab, éß c"), (93, "ab éß c"), (94, "x y " * 12), (None, prose(rnd, 15)), (None, "only here")]
     rows = []
     for i in range(60):
         own = prose(rnd, rnd.randint(0, 60)).split()
@@ -60,9 +62,9 @@ def test_every_shared_window_is_hit(spark, bound):
             a = rnd.randint(0, max(0, len(w) - 3))
             own[len(own) // 2 : len(own) // 2] = w[a : a + rnd.randint(1, 30)]
         rows.append((i, ", ".join(own).upper() if i % 2 else " ".join(own)))
-    rows += [(100, None), (101, ""), (102, "x y " * 4000), (None, items[4][1]), (5, items[4][1]), (5, items[4][1])]
+    rows += [(100, None), (101, ""), (102, "x y " * 4000), (None, items[4][1]), (5, items[4][1]), (5, items[4][1]), (103, "but only here, " + items[-2][1])]
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, hash int")
-    tool = Decontaminator(broadcast_windows=bound)
+    tool = Decontaminator()
     found = tool.hits(docs(spark, rows), bench).collect()
     got = sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r["items"])) for r in found)
     want = sorted((str(i), *hit_words(t, items)[:2], tuple(hit_words(t, items)[2])) for i, t in rows)
@@ -73,6 +75,30 @@ def test_every_shared_window_is_hit(spark, bound):
     assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str((i, t)) for i, t in rows if not hit_words(t, items)[1])
 
 
+def test_a_window_of_many_items(spark):
+    """A prompt that 3,000 items share is matched once a place; a gram of many windows does not multiply candidates."""
+    prompt = " ".join(f"p{i}" for i in range(10))
+    items = [(i, f"{prompt} own{i}") for i in range(3000)] + [(9000 + i, f"a{i} a{i} a{i} x1 x2 x3 x4 x5 b{i} b{i}") for i in range(500)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    tool = Decontaminator()
+    windows = tool.item_windows(bench).cache()
+    assert windows.select("hash").distinct().count() == 1 + 3000 + 500
+    rows = docs(spark, [(1, f"said {prompt} twice {prompt}"), (2, "x1 x2 x3 x4 x5 " * 2000), (3, f"{prompt} own7")])
+    marked = tool._marked(rows, "text", tool.filters(windows)).select("doc_id", F.size("__at").alias("n")).collect()
+    assert {r.doc_id: r.n for r in marked}[1] == 2 and {r.doc_id: r.n for r in marked}[2] < 100
+    found = {r.doc_id: r for r in tool.hits(rows, bench).collect()}
+    assert (found[1].n_hit, len(found[1]["items"]), found[2].n_hit) == (20, 3000, 0)
+    assert found[3].n_hit == 11 and len(found[3]["items"]) == 3000
+
+
+def test_filters_lose_no_key(spark):
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    made = decontam.blooms(spark.createDataFrame([("a", int(k)) for k in keys], "name string, key long"), ["a", "b"])
+    assert made["a"].has(keys.view(np.uint64)).all() and not made["b"].has(keys.view(np.uint64)).any()
+    assert made["a"].has(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)).mean() < 0.02
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in Decontaminator().hits(docs(spark, [(1, "a b")]), bench).collect()] == [0]

@@ -96,7 +96,7 @@ _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x
 
 _OP3 = f"""
 with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
-b as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+b as (select item_id, {_WORDS} as w from benchmark),
 iw as (
   select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as win
   from b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as t(i) where len(w) > 0),
@@ -106,7 +106,7 @@ dw as (
   from d, lens, unnest(range(1, len(w) - n + 2)) as t(i)),
 hit as (select r, i, dw.n, item_id from dw join iw on dw.win = iw.win and dw.n = iw.n),
 words as (select r, count(distinct p) as n_hit from hit, unnest(range(i, i + n)) as t(p) group by r),
-items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item_id::varchar as item from hit) group by r)
+items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item_id::varchar as item from hit where item_id is not null) group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (r) left join items using (r)
