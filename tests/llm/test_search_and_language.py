@@ -51,9 +51,9 @@ def test_recall_and_scores(spark):
 def test_ties_copies_and_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 1.0, 0.0]) for i in range(40)] + [(100, [1.0, 1.0, 0.1]), (101, [0.0, 0.0, 1.0])]
-    bad = [(200, None), (201, [0.0, 0.0, 0.0]), (202, [nan, 1, 1]), (203, [inf, 1, 1]), (204, [None, 1, 1]), (205, [1.0, 1.0]), (206, []), (None, [1, 1, 0])]
+    bad = [(200, None), (201, [0.0, 0.0, 0.0]), (202, [nan, 1, 1]), (203, [inf, 1, 1]), (204, [None, 1, 1]), (206, []), (None, [1, 1, 0])]
     df = vectors(spark, rows + bad).union(vectors(spark, [(3, [1.0, 1.0, 0.0])]))
-    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(df, F.col("vec_id").isin(2, 100, 201), k=5, rerank=3).collect()}
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(df, F.col("vec_id").isin(2, 100, 201), k=5).collect()}
     assert [found[2, k][0] for k in range(1, 6)] == [0, 1, 3, 4, 5]  # copies: the smaller ids, without the row itself
     assert [found[100, k][0] for k in range(1, 6)] == [0, 1, 2, 3, 4]
     assert not any(q == 201 for q, _ in found)
@@ -63,6 +63,19 @@ def test_ties_copies_and_unusable_vectors(spark):
     assert ann.search(vectors(spark, []), F.col("vec_id") > 0).count() == 0
 
 
+def test_lengths_sizes_and_shared_ids(spark):
+    """Lengths are searched apart; huge and tiny vectors take part; rows that share an id are separate."""
+    rows = [(0, [1.0, 2.0]), (1, [1e200, 2e200]), (2, [1e-200, 2.1e-200]), (3, [5e-324, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 1.0, 0.0]), (6, [-1.0, 2.0]), (6, [1.0, 2.05]), (7, [3.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id").isin(0, 4), k=9).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [i for i, _ in got[0]] == [1, 6, 2, 6, 3] and got[0][0][1] == pytest.approx(1) and got[0][3][1] == pytest.approx(0.6) and got[0][4][1] == pytest.approx(5**-0.5)
+    assert [i for i, _ in got[4]] == [7, 5]
+    both = ann.search(df, F.col("vec_id") == 6, k=1).collect()
+    assert [r.vec_id for r in both] == [2, 2]
+
+
 def test_anisotropic_loss_favours_the_parallel_part():
     rng = np.random.default_rng(0)
     x = ann.unit(rng.normal(size=(2000, 16)))
@@ -76,16 +89,44 @@ def test_anisotropic_loss_favours_the_parallel_part():
     assert along(8.0) < along(1.0)
 
 
-def test_blocks_and_shards_do_not_matter(spark, monkeypatch):
+def test_blocks_do_not_matter(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=8)) for i in range(9000)]
     df = vectors(spark, rows)
-    one = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 1000 == 0, rerank=9000).collect())
-    two = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 1000 == 0, rerank=9000, query_block=2).collect())
+    one = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 1000 == 0, margin=50).collect())
+    two = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 1000 == 0, margin=50, query_components=16).collect())
     assert one == two
     assert [(r[2]) for r in one if r[0] == 0] == [i for i, _ in brute(rows, 0, 5)]
 
 
+def test_no_vector_is_shuffled(spark):
+    """Only keys and scores lie in exchanges; vectors are coded once, in a pass without one."""
+    df = vectors(spark, [(i, np.arange(1, 9) + i) for i in range(50)])
+    plan = ann.search(df, F.col("vec_id") % 10 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "embedding" not in plan and "cogroup" not in plan.lower()
+
+
+@pytest.mark.parametrize("kind", ["noise", "clusters"])
+def test_recall_over_many_vectors(kind):
+    """120,000 vectors in batches, 64 components: at least 0.9 of the 5 nearest, few reranked."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120_000, 64)).astype(np.float32).astype(float)
+    if kind == "clusters":
+        x = rng.normal(size=(300, 64))[rng.integers(0, 300, len(x))] + 0.35 * x
+    model = ann.AnisotropicQuantizer.fit(ann.unit(x[::11]))
+    asked = np.arange(0, len(x), 2000)
+    ids = np.arange(len(x))
+    near = ann.Nearest(model, asked, x[asked], 5)
+    for at in range(0, len(x), 10_000):
+        near.add(ann.Coded.of(model, ids[at : at + 10_000], ids[at : at + 10_000], x[at : at + 10_000]))
+    exact = ann.unit(x[asked]) @ ann.unit(x).T
+    exact[np.arange(len(asked)), asked] = -2
+    hits = sum(len(set(b[1]) & set(np.argsort(-e)[:5].tolist())) for b, e in zip(near.best, exact, strict=True))
+    share = near.reranked / (len(asked) * len(x))
+    print(kind, "recall", hits / (5 * len(asked)), "reranked", share)
+    assert hits / (5 * len(asked)) >= 0.98 and share < 0.05
+
+
 # language model --------------------------------------------------------------------
 
 
@@ -185,18 +226,16 @@ def test_chunks_round_trip():
 
 
 def test_search_among_near_equal_vectors():
-    """A third of a shard is one group of almost equal vectors."""
-    import numpy as np
-
-    from weftgraph.llm.ann import AnisotropicQuantizer, search_shard, unit
-
+    """A third of the vectors is one group of almost equal ones."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 64))
     x[:1000] = rng.normal(size=64) + 0.01 * rng.normal(size=(1000, 64))
-    ids = np.arange(3000)
-    asked = np.concatenate([np.arange(0, 1000, 100), np.arange(1000, 3000, 200)])
-    found = search_shard(AnisotropicQuantizer.fit(unit(x[::3])), ids, x, asked, x[asked], 5, 160)
-    for i in asked:
-        exact = unit(x) @ unit(x[i : i + 1])[0]
+    ids, asked = np.arange(3000), np.concatenate([np.arange(0, 1000, 100), np.arange(1000, 3000, 200)])
+    model = ann.AnisotropicQuantizer.fit(ann.unit(x[::3]))
+    near = ann.Nearest(model, asked, x[asked], 5)
+    for part in (ids[::2], ids[1::2]):
+        near.add(ann.Coded.of(model, part, part, x[part]))
+    for i, best in zip(asked, near.best, strict=True):
+        exact = ann.unit(x) @ ann.unit(x[i : i + 1])[0]
         exact[i] = -2
-        assert set(found[found.query_id == i].vec_id) == set(np.argsort(-exact)[:5])
+        assert set(best[1]) == set(np.argsort(-exact)[:5])

@@ -3,17 +3,20 @@
 Unit vectors are cut into subspaces of two components, each coded in four bits.
 The codebooks minimise a loss that weighs the residual parallel to the vector
 `eta` times the orthogonal one, since that is what moves large inner products.
-A query becomes a table of 16 partial products per subspace; a scan adds them up
-for every code of a shard, and all that can be among the best of a shard are
-reranked by their exact cosine in double precision.
+Every vector is coded once; codes and residual lengths are written beside it. A
+query becomes a table of 16 partial products per subspace; a scan adds them up for
+every code, and each vector that can be among the nearest by its sum and residual is
+reranked by its exact cosine in double precision, where it lies: no vector is
+shuffled or copied for a block of queries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -113,123 +116,189 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def search_shard(model: AnisotropicQuantizer, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, rerank: int, block: int = 64) -> pd.DataFrame:
-    """Each query's k best of a shard: table scan, then exact cosines.
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row divided by a power of two, so that its largest component is near one: no square overflows or vanishes, no bit is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
-    The best `rerank` distinct vectors of the scan give a score to beat; then every
-    other vector that could reach it, by its scan score and its coding residual,
-    is measured too, so that the result is exact whatever `rerank` is.
-    Equal vectors are scanned once and share their score, so a hot vector does
-    not crowd out others; of equals the smallest ids are kept, beside the query's own.
+
+@dataclass
+class Coded:
+    """Vectors (scaled, in double) with ids, keys and what the index has of them."""
+
+    ids: np.ndarray
+    keys: np.ndarray
+    x: np.ndarray
+    codes: np.ndarray
+    along: np.ndarray
+    across: np.ndarray
+    square: np.ndarray
+
+    @classmethod
+    def of(cls, model: AnisotropicQuantizer, ids: np.ndarray, keys: np.ndarray, x: np.ndarray) -> Coded:
+        x = scaled(x)
+        codes = model.packed(unit(x))
+        return cls(ids, keys, x, codes, *model.slopes(unit(x), codes))
+
+    def few_of_each(self, most: int) -> Coded:
+        """Repeated rows once; of equal vectors those with the `most` smallest ids, as no others can be among the nearest."""
+        _, number = np.unique(np.ascontiguousarray(self.x + 0.0).view(np.dtype((np.void, 8 * self.x.shape[1]))).ravel(), return_inverse=True)
+        order = np.lexsort((self.keys, self.ids, number.ravel()))
+        group, keys = number.ravel()[order], self.keys[order]
+        again = np.zeros(len(order), bool)
+        again[1:] = (group[1:] == group[:-1]) & (keys[1:] == keys[:-1])
+        order, group = order[~again], group[~again]
+        rank = np.arange(len(order)) - np.searchsorted(group, group)
+        keep = np.sort(order[rank < most])
+        if len(keep) == len(self.ids):
+            return self
+        return Coded(*(a[keep] for a in (self.ids, self.keys, self.x, self.codes, self.along, self.across, self.square)))
+
+
+class Nearest:
+    """The k nearest found so far for each query, over any number of batches of coded vectors.
+
+    A vector x is its coded part, longer by `along`, plus a rest of the length
+    `across` at right angles. The scan knows the product q has with the former; with
+    the rest it is at most across times what q has beside the coded part (a sure
+    bound). And where cos(q, x) = t, it is t across^2 plus the product of the rest
+    with a direction at right angles to x, whose deviation is across / sqrt(d - 1) of
+    its length; `margin` such deviations are granted. A vector that both bounds
+    let reach the k-th best so far is reranked, be it one or a third of a batch, so
+    groups of almost equal vectors, whose rest is the query's own, are never cut.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    rows = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, 8 * x.shape[1]))).ravel()
-    _, first, member = np.unique(rows, return_index=True, return_inverse=True)
-    # distinct vectors in order of their smallest id; members of each stay sorted by id
-    rank = np.argsort(first, kind="stable")
-    place = np.empty_like(rank)
-    place[rank] = np.arange(len(rank))
-    member = place[member.ravel()]
-    by = np.argsort(member, kind="stable")
-    starts = np.searchsorted(member[by], np.arange(len(rank) + 1))
-    distinct = x[first[rank]]
-    norms = np.sqrt((distinct * distinct).sum(1))
-    codes = model.packed(distinct / norms[:, None])
-    along, across, square = (np.concatenate(v) for v in zip(*[model.slopes(distinct[i : i + 8192] / norms[i : i + 8192, None], codes[i : i + 8192]) for i in range(0, len(distinct), 8192)], strict=True))
-    columns = [np.ascontiguousarray(codes[:, j]) for j in range(codes.shape[1])]
-    qn = np.sqrt((q * q).sum(1))
-    n, top = len(distinct), min(rerank, len(distinct))
-
-    def cosines(of: np.ndarray, query: np.ndarray, length: float) -> np.ndarray:
-        parts = [of[i : i + 8192] for i in range(0, len(of), 8192)]
-        return np.concatenate([(distinct[p] * query).sum(1) / (norms[p] * length) for p in parts])
-
-    def nearest(best: np.ndarray, exact: np.ndarray, own: int) -> list[tuple[float, int]]:
-        found: list[tuple[float, int]] = []
-        for r in np.lexsort((best, -exact)):
-            if len(found) >= k and exact[r] < found[k - 1][0]:
-                break
-            members = ids[by[starts[best[r]] : starts[best[r] + 1]][: k + 1]]
-            found += [(float(exact[r]), int(v)) for v in members if v != own][:k]
-            found.sort(key=lambda f: (-f[0], f[1]))
-        return found
-
-    out: list[tuple[int, int, float]] = []
-    for at in range(0, len(q), block):
-        tables = model.tables(q[at : at + block] / qn[at : at + block, None])
-        for i in range(len(tables)):
-            scan = tables[i, 0][columns[0]]
-            for j in range(1, len(columns)):
-                scan += tables[i, j][columns[j]]
-            if top < n:
-                edge = np.partition(scan, n - top)[n - top]
-                best = np.flatnonzero(scan > edge)
-                best = np.concatenate([best, np.flatnonzero(scan == edge)[: top - len(best)]])
-            else:
-                best = np.arange(n)
-            query, own = q[at + i], query_ids[at + i]
-            exact = cosines(best, query, qn[at + i])
-            found = nearest(best, exact, own)
-            if top < n:
-                # cosine = scan * (1 + along) + what the query has across the coded vector, at most
-                side = np.sqrt(np.maximum(1 - scan * scan / np.where(square > 0, square, 1), 0)) * (square > 0) + (square == 0)
-                bound = scan * (1 + along) + across * side + 1e-4  # scores are summed in single precision
-                open_ = bound >= (found[k - 1][0] if len(found) >= k else -np.inf)
-                open_[best] = False
-                if open_.any():
-                    more = np.flatnonzero(open_)
-                    best, exact = np.concatenate([best, more]), np.concatenate([exact, cosines(more, query, qn[at + i])])
-                    found = nearest(best, exact, own)
-            out += [(int(own), v, s) for s, v in found[:k]]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    def __init__(self, model: AnisotropicQuantizer, keys: np.ndarray, q: np.ndarray, k: int, margin: float = 4.0, first: int = 64) -> None:
+        self.model, self.keys, self.q, self.k, self.margin, self.first = model, keys, scaled(q) if len(q) else q, k, margin, max(first, k + 1)
+        self.lengths = np.sqrt((self.q * self.q).sum(axis=1))
+        self.best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
+        self.reranked = 0
+
+    def _take(self, i: int, batch: Coded, norms: np.ndarray, rows: np.ndarray) -> None:
+        """Measures rows and keeps the k best: falling score, then id."""
+        rows = rows[batch.keys[rows] != self.keys[i]]
+        self.reranked += len(rows)
+        score = (batch.x[rows] * self.q[i]).sum(axis=1) / (norms[rows] * self.lengths[i])
+        score, ids, keys = (np.concatenate([a, b]) for a, b in zip(self.best[i], (score, batch.ids[rows], batch.keys[rows]), strict=True))
+        order = np.lexsort((keys, ids, -score))
+        same = np.zeros(len(order), bool)
+        same[1:] = (keys[order[1:]] == keys[order[:-1]]) & (ids[order[1:]] == ids[order[:-1]])
+        order = order[~same][: self.k]
+        self.best[i] = (score[order], ids[order], keys[order])
+
+    def add(self, batch: Coded, block: int = 64) -> None:
+        batch = batch.few_of_each(self.k + 1)
+        n, d = batch.x.shape
+        norms = np.sqrt((batch.x * batch.x).sum(axis=1))
+        columns = [np.ascontiguousarray(batch.codes[:, j]).astype(np.intp) for j in range(batch.codes.shape[1])]
+        longer, short = (1 + batch.along).astype(np.float32), 1 - batch.across**2
+        noise = self.margin * batch.across * np.sqrt(np.maximum(short, 0)) / np.sqrt(max(d - 1, 1))
+        inverse = np.where(batch.square > 0, 1 / np.where(batch.square > 0, batch.square, 1), 0)
+        for at in range(0, len(self.q), block):
+            part = slice(at, at + block)
+            tables = self.model.tables(self.q[part] / self.lengths[part, None])
+            for i, table in enumerate(tables, at):
+                scan = table[0].take(columns[0])
+                for j in range(1, len(columns)):
+                    scan += table[j].take(columns[j])
+                found = scan * longer
+                rows = np.zeros(0, np.int64)
+                if len(self.best[i][0]) < self.k:
+                    rows = np.argpartition(-found, self.first)[: self.first] if n > self.first else np.arange(n)
+                    self._take(i, batch, norms, rows)
+                if len(rows) == n:
+                    continue
+                edge = self.best[i][0][-1] if len(self.best[i][0]) == self.k else -1.0
+                slack = 1e-4  # sums are in single precision
+                more = np.flatnonzero(found >= edge * short - np.sqrt(max(1 - edge * edge, 0)) * noise - slack) if edge > 0 else np.arange(n)
+                beside = np.sqrt(np.maximum(1 - scan[more] ** 2 * inverse[more], 0))
+                more = more[found[more] + batch.across[more] * beside + slack >= edge]
+                if len(rows):
+                    more = np.setdiff1d(more, rows, assume_unique=True)
+                if len(more):
+                    self._take(i, batch, norms, more)
 
 
 def usable(column: Column) -> Column:
-    """Not null, without null or non-finite components, not zero; squares must fit a double."""
-    finite = F.forall(column, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e150))
-    return F.coalesce(column.isNotNull() & (F.size(column) > 0) & finite & F.exists(column, lambda v: F.abs(v) > 1e-150), F.lit(False))
+    """Not null, without null or non-finite components, not zero."""
+    finite = F.forall(column, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.coalesce(column.isNotNull() & (F.size(column) > 0) & finite & F.exists(column, lambda v: v != 0), F.lit(False))
+
+
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), d)
+
+
+def indexed(rows: DataFrame, models: dict[int, AnisotropicQuantizer]) -> DataFrame:
+    """rows (vec_id, key, is_query, d, v) with code (packed four-bit codes), along, across, square. No shuffle."""
+    sent = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(3).to_numpy()
+            for d in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == d))
+                for at in range(0, part.num_rows, 8192):
+                    own = part.slice(at, 8192)
+                    c = Coded.of(sent.value[d], own.column(0).to_numpy(), own.column(1).to_numpy(), _matrix(own.column(4), d))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([r.tobytes() for r in c.codes], pa.binary()), *map(pa.array, (c.along, c.across, c.square))], names=[*own.schema.names, "code", "along", "across", "square"])
+
+    kind = rows.schema["v"].dataType.simpleString()
+    return rows.mapInArrow(run, f"vec_id long, key long, is_query boolean, d int, v {kind}, code binary, along double, across double, square double")
+
+
+def scanned(index: DataFrame, model: AnisotropicQuantizer, d: int, asked: list, k: int, margin: float) -> DataFrame:
+    """query_id, query_key, vec_id, key, score: each task's k nearest of its own vectors for the asked queries (rows vec_id, key, v)."""
+    sent = index.sparkSession.sparkContext.broadcast((model, np.array([r.vec_id for r in asked], np.int64), np.array([r.key for r in asked], np.int64), np.array([r.v for r in asked], np.float64).reshape(len(asked), d)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, ids, keys, q = sent.value
+        near = Nearest(model, keys, q, k, margin)
+        for batch in batches:
+            if batch.num_rows:
+                codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                near.add(Coded(batch.column(0).to_numpy(), batch.column(1).to_numpy(), scaled(_matrix(batch.column(2), d)), codes, *(batch.column(j).to_numpy() for j in (4, 5, 6))))
+        n = [len(b[0]) for b in near.best]
+        score, vec, key = (np.concatenate([np.zeros(0, kind), *(b[j] for b in near.best)]).astype(kind) for j, kind in enumerate((np.float64, np.int64, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(keys, n)), pa.array(vec), pa.array(key), pa.array(score)], names=["query_id", "query_key", "vec_id", "key", "score"])
+
+    return index.where(F.col("d") == d).select("vec_id", "key", "v", "code", "along", "across", "square").mapInArrow(run, "query_id long, query_key long, vec_id long, key long, score double")
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, rerank: int = 160, fit_rows: int = 16_384, id_column: str = "vec_id", vector_column: str = "embedding", query_block: int = 4096, eta: float = 4.0) -> DataFrame:
+def search(
+    vectors: DataFrame, queries: Column, k: int = 5, margin: float = 4.0, fit_rows: int = 16_384, id_column: str = "vec_id", vector_column: str = "embedding", query_components: int = 4_000_000, eta: float = 4.0
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row where `queries` holds.
 
-    Nearness is the cosine; ties go to the smaller vec_id; the row's own id is no
+    Nearness is the cosine; ties go to the smaller vec_id; the row itself is no
     candidate. The codebooks are fitted on at most `fit_rows` vectors, those of
-    least hash; every row is indexed. Rows are dealt into shards by id and queries
-    into blocks; a shard and a block meet in one task by an equi-join on both
-    numbers, so neither side is broadcast and no task outgrows its blocks.
-    Vectors null, zero, or holding null or non-finite components take no part, nor
-    do rows without an id or of another length than most have (of equally many the
-    shorter length); rows that repeat an id count once (the least vector). Without
-    usable rows the result is empty.
+    least hash; every row is indexed. Queries go to all tasks in blocks of at most
+    `query_components` numbers (32 MB); each block is one scan of the index, which
+    returns k rows a query and task. Vectors null, zero, or holding null or
+    non-finite components take no part, nor do rows without an id. Vectors of
+    different lengths have no cosine: each length is searched on its own. Rows that
+    repeat id and vector are one; rows that share an id only are separate candidates,
+    and separate queries. Without usable rows the result is empty.
     """
-    condition = queries
+    spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(vector_column)) & F.col(id_column).isNotNull())
-    rows = rows.groupBy(F.col(id_column).cast("long").alias("vec_id")).agg(F.min(F.col(vector_column).cast("array<double>")).alias("v"), F.max(condition).alias("is_query"))
-    rows = saved(rows, "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], empty)
-    dim, n = sizes[0].d, sizes[0].n
-    rows = rows.where(F.size("v") == dim)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("v").toPandas()
-    model = AnisotropicQuantizer.fit(unit(np.array(sample["v"].tolist())), eta)
-    # 4,096 to 131,072 vectors a shard, 16 shards where that allows
-    shards = max(1, -(-n // min(131_072, max(4096, -(-n // 16)))))
-    asked = rows.where("is_query").count()
-    blocks = max(1, -(-asked // query_block))
-    shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    left = rows.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
-    right = rows.where("is_query").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), "vec_id", "v")
-
-    def scan(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        matrix = lambda f: np.array(f["v"].tolist(), np.float64)
-        return search_shard(model, own["vec_id"].to_numpy(), matrix(own), asked["vec_id"].to_numpy(), matrix(asked), k, rerank)
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    vec_id, v = F.col(id_column).cast("long"), F.col(vector_column)
+    rows = rows.select(vec_id.alias("vec_id"), F.xxhash64(vec_id, v).alias("key"), F.coalesce(queries, F.lit(False)).alias("is_query"), F.size(v).alias("d"), v.alias("v"))
+    models = {}
+    for d in sorted(r.d for r in rows.select("d").distinct().collect()):
+        sample = rows.where(F.col("d") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "key").limit(fit_rows).select("v").collect()
+        models[d] = AnisotropicQuantizer.fit(unit(scaled(np.array([r.v for r in sample], np.float64))), eta)
+    found = spark.createDataFrame([], "query_id long, query_key long, vec_id long, key long, score double")
+    if not models:
+        return found.select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
+    index = saved(indexed(rows, models), "index")
+    asked = index.where("is_query").select("vec_id", "key", "d", "v").dropDuplicates(["vec_id", "key"])
+    for r in asked.groupBy("d").agg(F.count("*").alias("n")).collect():
+        blocks = -(-r.n * r.d // query_components)
+        for b in range(blocks):
+            some = asked.where((F.col("d") == r.d) & (F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)) == b)).collect()
+            if some:
+                part = scanned(index, models[r.d], r.d, some, k, margin)
+                found = found.unionByName(part if blocks == 1 else saved(part, "nearest"))
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", "key")
+    once = found.dropDuplicates(["query_id", "query_key", "vec_id", "key"])
+    return once.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
