@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontam, packing, quality, secrets, simhash, toxicity
+from weftgraph.llm import common, decontam, packing, quality, secrets, simhash, toxicity
 from weftgraph.llm.components import connected_components
 from weftgraph.llm.decontam import Decontaminator, gram_hashes, winnow, words_of
 from weftgraph.llm.queries import tokenizer_path
@@ -309,7 +309,7 @@ def test_trees_find_every_link(spark, shard_rows, blocks):
             fps.add(f)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f, f) for f in signed], "node long, fp long")
-    links = simhash.near_links(df, simhash.block_keys(F.col("fp"), 3, blocks), {4: 4, 5: 10}[blocks], 3, shard_rows=shard_rows)
+    links = simhash.near_links(df, simhash.block_keys(F.col("fp"), 3, blocks), 3, shard_rows=shard_rows)
     labels = {r.node: r.component for r in connected_components(links).collect()}
     arr = np.array(sorted(signed))
     label = {int(a): int(a) for a in arr}
@@ -325,6 +325,27 @@ def test_trees_find_every_link(spark, shard_rows, blocks):
     assert {f: labels.get(f, f) for f in signed} == label
 
 
+def test_tasks_follow_the_copies_of_hot_keys(spark):
+    """One key with a hundred parts: tasks count its copies, so none gets much more than its share."""
+    n, part, share = 2000, 20, 1000
+    df = spark.range(n).select(F.col("id").alias("node"), F.lit(5).alias("key"))
+    sizes = df.groupBy("key").agg(F.count("*").alias("n"))
+    tasks = simhash.tasks_for(sizes, part, share)
+    assert tasks == n * (n // part) // share
+    dealt = simhash.dealt(df.join(sizes, "key"), part, tasks)
+    loads = [r.n for r in dealt.groupBy("task").agg(F.count("*").alias("n")).collect()]
+    assert sum(loads) == n * (n // part) and max(loads) < 3 * share
+    assert dealt.groupBy("cell").count().agg(F.max("count")).first()[0] <= 4 * part
+
+
+def test_hot_keys_are_spread(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id") % 40).alias("key"))
+    side = spark.range(60).select(F.col("id").cast("int").alias("key"), (F.col("id") * 2).alias("value"))
+    got = common.joined_spread(rows.withColumn("key", F.col("key").cast("int")), side, "key", least=500).collect()
+    want = rows.where("key is not null").count()
+    assert len(got) == want and all(r.value == 2 * r.key for r in got)
+
+
 def test_similar_copies(spark):
     rnd = random.Random(10)
     rows, groups = [], []
@@ -364,6 +385,19 @@ def test_similar_copies_are_exact(spark, length, pairs):
         assert {i: got[i] for i in want} == want
 
 
+def test_rows_are_judged_by_their_texts(spark):
+    """Rows that share an id and differ stay; of a class one row stays, whatever repeats."""
+    rnd = random.Random(3)
+    a, b, c = (prose(rnd, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (2, c), (3, c), (3, c), (None, c), (None, b + " x"), (4, None), (5, ""), (None, " ")]
+    before = docs(spark, rows)
+    kept = simhash.without_copies(before)
+    assert kept.columns == before.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, a), (1, b), (2, c), (4, None)]))
+    assert simhash.without_copies(docs(spark, [(None, a), (None, a)])).count() == 1
+    assert simhash.without_copies(docs(spark, [])).count() == 0
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(11)
     for share in (0.5, 0.8, 0.95):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from weftgraph.llm.common import saved
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Columns of edges: a, b (long). Returns node, component (the smallest node reached).
 
     Each round takes the least label of each node and of its neighbours, then
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = saved(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))
         step = labels.join(seen, labels.node == seen.a, "left").select("node", F.least("component", "least").alias("next"), F.col("component").alias("old"))
         parent = labels.select(F.col("node").alias("p"), F.col("component").alias("pc"))
@@ -29,4 +29,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = step.select("node", "component")
         if step.where("component < old").isEmpty():
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")

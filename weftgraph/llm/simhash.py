@@ -17,15 +17,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from weftgraph.llm.common import chunks, picked, record_batch, saved, text_bytes
+from weftgraph.llm.common import RowNumbers, chunks, joined_spread, picked, record_batch, saved, text_bytes
 from weftgraph.llm.components import connected_components
 
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
@@ -314,10 +312,17 @@ def dealt(keyed: DataFrame, shard_rows: int, tasks: int) -> DataFrame:
     )
 
 
-def near_links(nodes: DataFrame, keys: Column, tables: int, radius: int = 3, shard_rows: int = 20_000, rows_per_task: int = 200_000) -> DataFrame:
+def tasks_for(sizes: DataFrame, shard_rows: int, rows_per_task: int) -> int:
+    """Tasks for the cells of keys (column n: rows of each): a row is copied once for each part of its key, and the copies count."""
+    copies = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / shard_rows))).first()[0] or 0
+    return int(max(sizes.sparkSession.sparkContext.defaultParallelism, -(-copies // rows_per_task)))
+
+
+def near_links(nodes: DataFrame, keys: Column, radius: int = 3, shard_rows: int = 20_000, rows_per_task: int = 200_000) -> DataFrame:
     """Links a, b between nodes (columns node, fp) that span every class within radius.
 
-    keys: an array of `tables` keys; nodes meet where they share one.
+    keys: an array of keys; nodes meet where they share one. A task gets about
+    `rows_per_task` rows, at most some cells of 2 * shard_rows above that.
 
     All links of at most radius bits are looked at; of those, each cell returns
     as many as join its members. A hash that two keys share joins their cells,
@@ -325,8 +330,7 @@ def near_links(nodes: DataFrame, keys: Column, tables: int, radius: int = 3, sha
     """
     keyed = nodes.select("node", "fp", F.explode(keys).alias("key"))
     sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, nodes.count() * tables // rows_per_task)
-    cells = dealt(keyed.join(sizes, "key"), shard_rows, tasks)
+    cells = dealt(joined_spread(keyed, sizes, "key"), shard_rows, tasks_for(sizes, shard_rows, rows_per_task))
     return cells.groupBy("task").applyInPandas(lambda pdf: cell_links(pdf, radius), "a long, b long")
 
 
@@ -343,61 +347,96 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_column:
     least = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
     blocks = blocks_for(least.count(), radius)
     nodes = least.select(F.col("fp").alias("node"), "fp")
-    classes = connected_components(near_links(nodes, block_keys(F.col("fp"), radius, blocks), comb(blocks, radius), radius))
+    classes = connected_components(near_links(nodes, block_keys(F.col("fp"), radius, blocks), radius))
     classes = least.join(classes, least.fp == classes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = classes.join(ids, "component").select("fp", "component_id")
-    return rows.join(linked, "fp").select("doc_id", "fp", "component_id")
+    return joined_spread(rows, linked, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack: float = 0.22, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 20_000, exact_rows: int = 2_000) -> DataFrame:
-    """doc_id, component_id for every row of docs: classes of texts whose shingle sets have a Jaccard similarity of `similarity`.
+def _similar(source: DataFrame, width: int, similarity: float, slack: float, shard_rows: int, exact_rows: int, text: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes) of source (columns of any name, then __id and __text); text: a written column with the text's bytes.
 
-    Every pair that is linked is measured on the sets themselves. Texts of such a
-    pair share a hash of their sets' prefixes (a fifth of the hashes, in one order
-    for all), so each prefix hash is a key. What shares one is compared by size
-    and by histogram, which lose nothing, or, from SIGNED hashes on, by size and
-    by a 128-bin signature that shows at least `similarity` less `slack`, six standard
-    errors of that estimate. Such links give coarse classes, in which the texts
-    meet and are compared. Hashes found often in a sample come last in the order,
-    which keeps keys small and changes no result. Nulls, ties, repeated rows and
-    empty tables: as in near_duplicates.
+    rows: source with __row (a number) and __node (a hash of the text's shingle
+    set), written once. nodes: node, component (the least node of its class),
+    first (the least id of the node with its row: struct missing, id, row).
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text"))
-    sample = source.orderBy(F.xxhash64("doc_id", "text")).limit(2_000).select("text").toPandas()["text"]
+    spark = source.sparkSession
+    sample = source.orderBy(F.xxhash64("__id", "__text")).limit(2_000).select("__text").toPandas()["__text"]
     found, often = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(t, width)) for t in sample)]), return_counts=True)
     common = spark.sparkContext.broadcast(found[often >= 3])
-    kind = "doc_id long, node long, n long, keys array<long>, hist binary, sig binary, text binary"
-    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("hist", pa.binary()), ("sig", pa.binary()), ("text", pa.binary())])
+    names = source.columns
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    more = ["__row", "__node", "__size", "__keys", "__hist", "__sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        numbers = RowNumbers()
         for batch in batches:
-            ids, texts = picked(batch, "doc_id", "text")
-            for part in chunks(len(texts), 500):
-                sets = [np.unique(shingle_hashes(t, width)) for t in texts[part]]
+            for part in chunks(batch.num_rows, 500):
+                some = batch.slice(part.start, part.stop - part.start)
+                sets = [np.unique(shingle_hashes(t, width)) for t in some.column(len(names) - 1).to_pylist()]
                 node = np.fromiter((xxhash.xxh64_intdigest(h.tobytes()) for h in sets), np.uint64, len(sets)).view(np.int64)
                 keys = [prefix(h, similarity, common.value).view(np.int64) for h in sets]
                 hists = [histogram(h) if len(h) < ONLY_SIGNED else None for h in sets]
                 sigs = [signature(h) if len(h) >= SIGNED else None for h in sets]
-                yield record_batch(out, [ids[part], pa.array(node), [len(h) for h in sets], keys, hists, sigs, texts[part]])
-
-    rows = saved(source.mapInArrow(run, kind), "shingles")
-    nodes = saved(rows.groupBy("node").agg(F.min("n").alias("n"), F.min("hist").alias("hist"), F.min("sig").alias("sig"), F.min("keys").alias("keys"), F.min("doc_id").alias("least")), "distinct_shingles")
-    parallel = spark.sparkContext.defaultParallelism
-    keyed = nodes.select("node", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    met = saved(keyed.where("n > 1"), "keys")
-    cells = dealt(met, shard_rows, max(parallel, met.count() // 100_000)).join(nodes.select("node", "n", "hist", "sig"), "node")
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+                made = [numbers.take(some.num_rows), pa.array(node), pa.array([len(h) for h in sets], pa.int64()), flat, pa.array(hists, pa.binary()), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*some.columns, *made], names=[*names, *more])
+
+    made = source.mapInArrow(run, f"{kept}, __row long, __node long, __size long, __keys array<long>, __hist binary, __sig binary")
+    rows = saved(made if names == ["__id", "__text"] else made.drop("__text"), "shingles")
+    # facts of a node are the same in all its rows, so the first ones do
+    facts = [F.first(c).alias(n) for c, n in (("__size", "n"), ("__hist", "hist"), ("__sig", "sig"), ("__keys", "keys"))]
+    least = F.min(F.struct(F.col("__id").isNull().alias("missing"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("first")
+    nodes = saved(rows.groupBy(F.col("__node").alias("node")).agg(*facts, least), "distinct_shingles")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key_sizes")
+    met = joined_spread(keyed, sizes, "key")
+    cells = dealt(met, shard_rows, tasks_for(sizes, shard_rows, 100_000)).join(nodes.select("node", "n", "hist", "sig"), "node")
     coarse = connected_components(cells.groupBy("task").applyInPandas(lambda pdf: likely_links(pdf, similarity, similarity - slack), "a long, b long"))
     # one text for each node of a coarse class; copies are left out before the shuffle
-    sizes = coarse.groupBy("component").agg(F.count("*").alias("n"))
-    members = saved(coarse.join(sizes, "component").select("node", F.col("component").alias("key"), "n"), "coarse")
-    texts = rows.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    cells = dealt(members, exact_rows, max(parallel, members.count() // 1_000)).join(nodes.select("node", "n"), "node").join(texts, "node")
+    members = coarse.select("node", F.col("component").alias("key"))
+    sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")), "class_sizes")
+    of = nodes.select("node", "n", F.col("first.row").alias("__row")).join(members.select("node"), "node")
+    texts = rows.select("__row", text.alias("text")).join(of, "__row").select("node", "n", "text")
+    cells = dealt(joined_spread(members, sizes, "key"), exact_rows, tasks_for(sizes, exact_rows, 1_000)).join(texts, "node")
     classes = connected_components(cells.groupBy("task").applyInPandas(lambda pdf: exact_links(pdf, width, similarity), "a long, b long"))
-    classes = nodes.join(classes, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = classes.join(ids, "component").select("node", "component_id")
-    return rows.select("doc_id", "node").join(linked, "node").select("doc_id", "component_id")
+    classes = nodes.join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    return rows, classes
+
+
+def similar_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack: float = 0.22, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 20_000, exact_rows: int = 2_000) -> DataFrame:
+    """doc_id, component_id for every row of docs: classes of texts whose shingle sets have a Jaccard similarity of `similarity`.
+
+    Every pair that is linked is measured on the sets themselves. Texts of such a
+    pair share a hash of their sets' prefixes (a fifth of the hashes, in one order
+    for all), so each prefix hash is a key. What shares one is compared by size
+    and by histogram, which lose nothing, or, from SIGNED hashes on, by size and
+    by a 128-bin signature that shows at least `similarity` less `slack`, six standard
+    errors of that estimate. Such links give coarse classes, in which the texts
+    meet and are compared. Hashes found often in a sample come last in the order,
+    which keeps keys small and changes no result. Nulls, ties, repeated rows and
+    empty tables: as in near_duplicates.
+    """
+    source = docs.select(F.col(id_column).alias("__id"), text_bytes(text_column).alias("__text"))
+    rows, classes = _similar(source, width, similarity, slack, shard_rows, exact_rows, F.col("__text"))
+    ids = classes.groupBy("component").agg(F.min("first").alias("least"))
+    linked = classes.join(ids, "component").select("node", F.col("least.id").alias("component_id"))
+    return joined_spread(rows.select(F.col("__id").alias("doc_id"), F.col("__node").alias("node")), linked, "node").select("doc_id", "component_id")
+
+
+def without_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack: float = 0.22, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 20_000, exact_rows: int = 2_000) -> DataFrame:
+    """docs with one row of each class of similar_copies, as it is: that with the smallest id, nulls last, then any one.
+
+    Rows are judged by their texts, never by their ids: rows that share an id and
+    differ in text stay both. Null and wordless texts are one class. The rows are
+    numbered and written once; the texts meet the numbers that stay in one join.
+    """
+    names = docs.columns
+    source = docs.select(*names, F.col(id_column).alias("__id"), text_bytes(text_column).alias("__text"))
+    rows, classes = _similar(source, width, similarity, slack, shard_rows, exact_rows, text_bytes(text_column))
+    stay = classes.groupBy("component").agg(F.min("first").alias("least")).select(F.col("least.row").alias("__row"))
+    return rows.select(*names, "__row").join(stay, "__row", "left_semi").select(*names)
