@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +29,53 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Makes Spark delete an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written in here needs no shuffle file afterwards, so none outlives its write."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once as Parquet in the shared folder and read again.
 
     This cuts the lineage: an executor that is lost later costs a re-read only.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    with cleaned_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes what saved() wrote, in whatever store the folder lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def hashed_sample(df: DataFrame, by: Column, n: int) -> DataFrame:
+    """At most n rows, those of least hash `by`: a threshold from the count leaves few others, so no task sends n rows to one place."""
+    total = df.count()
+    most = min(1 << 30, -(-(n + 6 * int(n**0.5) + 10) * (1 << 30) // max(total, 1)))
+    return df.where(F.pmod(by, F.lit(1 << 30)) < most).orderBy(F.pmod(by, F.lit(1 << 30)), by).limit(n)
+
+
 class RowNumbers:
     """Numbers for the rows of one task, different from those of any other task of the job; fixed once the rows are written."""
 
@@ -70,18 +105,6 @@ def joined_spread(rows: DataFrame, side: DataFrame, key: str, least: int = 100_0
     return rows.join(F.broadcast(side.join(keys, key, "left_semi")), key).unionByName(rows.join(keys, key, "left_anti").join(side, key))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished, written steps.
-
-    Python's references go first; the JVM hears of that a moment later.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def text_bytes(column: str | Column = "text") -> Column:
     """Null texts are empty; Python gets UTF-8 bytes and decodes only what it must."""
     col = F.col(column) if isinstance(column, str) else column

@@ -9,9 +9,11 @@ it. Owners then count, one order lower, what Kneser-Ney needs: distinct left
 extensions of each suffix, and totals and count classes of each context. At the
 end a chunk has every number its documents' probabilities take.
 
-An n-gram's key is a hash of its words with 21 bits more than it takes to count
-the corpus's tokens, so at every size at most one n-gram in two million shares its
-key with another one and is counted with it; sorted, a key takes about four bytes.
+A word's key is its whole 64-bit hash, so the vocabulary and the base score are
+exact but for the odds of a clash of two words: 1 in 370,000 for ten million words.
+A longer n-gram's key has 21 bits more than it takes to count the corpus's tokens,
+so at every size at most one n-gram in two million shares its key with another one
+and is counted with it; sorted, a key takes about four bytes.
 """
 
 from __future__ import annotations
@@ -26,15 +28,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from weftgraph.llm.common import WordHashes, grouped, mix, picked, release, saved, sorted_order, text_bytes
+from weftgraph.llm.common import WordHashes, cleaned_shuffles, deleted, grouped, mix, new_path, picked, saved, sorted_order, text_bytes
 
 #: Hashes that stand for the start and the end of a text.
 PAD, STOP = np.uint64(0x5D41_402A_BC4B_2A), np.uint64(0xB1A8_7E36_90CD_73)
-#: Bits of a word's hash in a chunk.
-WORD_BITS = 56
-_WORD = np.uint64((1 << WORD_BITS) - 1)
+#: Bits of a word's key.
+WORD_BITS = 64
 #: Counted for each n-gram below the highest order; the highest has its count alone.
 #: context_rest is the total without what follows once or twice, which is zero for most.
 LOWER = ("continuations", "context_rest", "context_ones", "context_twos", "context_more", "raw")
@@ -111,7 +112,7 @@ class Grams:
         marked = np.full(total, PAD, np.uint64)
         marked[self.at] = chunk.words
         mask = np.uint64((1 << bits) - 1)
-        self.keys = [marked & mask]
+        self.keys = [marked]
         for _ in range(order - 1):
             last = self.keys[-1]
             self.keys.append(mix(np.concatenate([[PAD], last[:-1]]), marked) & mask)
@@ -145,7 +146,7 @@ def chunk_rows(docs: DataFrame, train: Column, id_column: str, text_column: str,
 
         for batch in batches:
             for i, text, t in zip(*picked(batch, "id", "text", "train"), strict=True):
-                hashes = known.of(text.lower().split()) & _WORD
+                hashes = known.of(text.lower().split())
                 ids.append(i)
                 train.append(t)
                 lens.append(len(hashes) + 1)
@@ -166,7 +167,7 @@ def chunk_rows(docs: DataFrame, train: Column, id_column: str, text_column: str,
 def _sent(chunk: int, keys: np.ndarray, columns: list[np.ndarray], shards: int, bits: int) -> list[dict]:
     """Rows for the shards that own some of the sorted keys: equal ranges of the hash."""
     width = (1 << bits) // shards + 1
-    cuts = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * np.uint64(width))
+    cuts = np.searchsorted(keys, np.array([i * width for i in range(1, shards)], np.uint64))
     out = []
     for s, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
         if b > a:
@@ -211,18 +212,19 @@ def _shard(pdf: pd.DataFrame, top: bool) -> pd.DataFrame:
             path = os.path.join(folder, str(j))
             a.astype("<u8").tofile(path)
             mapped.append(np.memmap(path, "<u8", "r"))
+        names, sums, owner = mapped[0], mapped[1:-1], mapped[-1]  # what was in memory goes
         out = []
         for i, (chunk, own) in enumerate(zip(pdf["chunk"], keys, strict=True)):
-            at = np.searchsorted(mapped[0], own)
-            columns = [squeezed(narrow(np.asarray(c[at]))) for c in mapped[1:-1]]
-            out.append({"shard": int(pdf["shard"].iloc[0]), "chunk": chunk, "keys": None, "columns": [*columns, squeezed((np.asarray(mapped[-1][at]) == i).astype(np.uint8))], "stats": None})
+            at = np.searchsorted(names, own)
+            columns = [squeezed(narrow(np.asarray(c[at]))) for c in sums]
+            out.append({"shard": int(pdf["shard"].iloc[0]), "chunk": chunk, "keys": None, "columns": [*columns, squeezed((np.asarray(owner[at]) == i).astype(np.uint8))], "stats": None})
         count = sums[0]
         classes = np.bincount(np.minimum(count, 5).astype(np.int64), minlength=6)
         stats = [float(classes[i]) for i in (1, 2, 3, 4)] + [float(count.sum()), float((count > 0).sum()), float((count > 2).sum())]
         stats += [0.0, 0.0] if top else [float(sums[-1].sum()), float((sums[-1] > 0).sum())]
         seen = np.logical_or.reduce([s > 0 for s in sums])
         out.append({"shard": int(pdf["shard"].iloc[0]), "chunk": -1, "keys": squeezed(names[seen], deltas=True), "columns": [squeezed(narrow(s[seen])) for s in sums], "stats": stats})
-        del mapped
+        del mapped, names, sums, owner
     return _frame(out, ["shard", "chunk", "keys", "columns", "stats"])
 
 
@@ -277,7 +279,7 @@ def _next_sends(order: int, n: int, shards: int, bits: int):
         more = count > 2
         columns = [sums(suffix), sums(context[more], count[more]), sums(context[count == 1]), sums(context[count == 2]), sums(context[more])]
         columns.append(sums(inverse[: len(grams.at)], grams.train) if n == 1 else np.zeros(size, np.int64))
-        return _frame(_sent(int(chunks["chunk"].iloc[0]), keys, columns, shards, bits), names)
+        return _frame(_sent(int(chunks["chunk"].iloc[0]), keys, columns, shards, WORD_BITS if n == 1 else bits), names)
 
     return run
 
@@ -367,13 +369,14 @@ def kneser_ney(docs: DataFrame, train: Column, order: int = 3, id_column: str =
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"lm_chunks_{uuid.uuid4().hex}"
     made = chunk_rows(docs, train, id_column, text_column, chunk_tokens).repartition(buckets, "chunk")
-    made.write.format("parquet").bucketBy(buckets, "chunk").saveAsTable(name)
-    del made
+    with cleaned_shuffles(spark):
+        made.write.format("parquet").bucketBy(buckets, "chunk").saveAsTable(name)
     chunks = spark.table(name)
-    release(spark)
     tables: dict[int, DataFrame] = {}
+    models: dict[int, DataFrame] = {}
+    paths = []
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
-    bits = min(WORD_BITS + 7, max(32, int(tokens).bit_length() + 21))
+    bits = min(63, max(32, int(tokens).bit_length() + 21))
     chunks = chunks.select("chunk", "data")
     if order < 2:
         raise ValueError("order must be 2 or more")
@@ -382,28 +385,37 @@ def kneser_ney(docs: DataFrame, train: Column, order: int = 3, id_column: str =
         if n == order:
             sent = chunks.mapInArrow(_first_sends(order, shards, bits), _SENT)
         else:
-            above = tables[n + 1].where("chunk >= 0").select("shard", "chunk", "columns")
+            above = tables[n + 1].select("shard", "chunk", "columns")
             sent = chunks.groupBy("chunk").cogroup(above.groupBy("chunk")).applyInPandas(_next_sends(order, n, shards, bits), _SENT)
         made = sent.groupBy("shard").applyInPandas(_merge(n == order), _MODEL)
-        tables[n] = saved(made, f"lm_order_{n}")
-        del sent, made
-        release(spark)
-    stats = {n: _summed(t) for n, t in tables.items()}
+        paths.append(new_path(spark, f"lm_order_{n}"))
+        with cleaned_shuffles(spark):
+            made.withColumn("part", F.when(F.col("chunk") < 0, "model").otherwise("answers")).write.partitionBy("part").parquet(paths[-1])
+        tables[n], models[n] = (_part(spark, paths[-1], part, made.schema) for part in ("answers", "model"))
+    stats = {n: _summed(t) for n, t in models.items()}
     one = stats[1]
     totals = Totals([discounts(*stats[n][:4]) for n in range(1, order + 1)], one[4], one[0], one[1], one[6], int(one[7]), int(one[8]))
     answered = None
     for n, table in tables.items():
-        part = table.where("chunk >= 0").select("chunk", "shard", "columns", F.lit(n).alias("n"))
+        part = table.select("chunk", "shard", "columns", F.lit(n).alias("n"))
         answered = part if answered is None else answered.unionByName(part)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scores = chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(_scores(order, bits, totals), schema)
     scores = saved(scores.withColumn("train_tokens", F.lit(totals.train_tokens).cast("long")), "lm_scores")
+    # the model stays; chunks and answers have done their work
     spark.sql(f"drop table {name}")
-    return scores, {n: t.where("chunk < 0") for n, t in tables.items()}
+    for path in paths:
+        deleted(spark, f"{path}/part=answers")
+    return scores, models
+
+
+def _part(spark: SparkSession, path: str, part: str, schema: T.StructType) -> DataFrame:
+    """One partition of an order's table; an empty table has no folder for it."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.StringType())])).parquet(path).where(F.col("part") == part).drop("part")
 
 
 def _summed(table: DataFrame) -> list[float]:
-    row = table.where("chunk < 0").select(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(9)]).first()
+    row = table.select(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(9)]).first()
     return [float(v or 0) for v in row]
 
 
