@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import saved
+from weftgraph.llm.common import hashed_sample, saved
 
 CODES = 16
 
@@ -285,7 +285,7 @@ def search(
     rows = rows.select(vec_id.alias("vec_id"), F.xxhash64(vec_id, v).alias("key"), F.coalesce(queries, F.lit(False)).alias("is_query"), F.size(v).alias("d"), v.alias("v"))
     models = {}
     for d in sorted(r.d for r in rows.select("d").distinct().collect()):
-        sample = rows.where(F.col("d") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "key").limit(fit_rows).select("v").collect()
+        sample = hashed_sample(rows.where(F.col("d") == d), F.col("key"), fit_rows).select("v").collect()
         models[d] = AnisotropicQuantizer.fit(unit(scaled(np.array([r.v for r in sample], np.float64))), eta)
     found = spark.createDataFrame([], "query_id long, query_key long, vec_id long, key long, score double")
     if not models:

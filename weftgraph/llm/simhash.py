@@ -22,8 +22,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from weftgraph.llm.common import RowNumbers, chunks, joined_spread, picked, record_batch, saved, text_bytes
+from weftgraph.llm.common import RowNumbers, chunks, hashed_sample, joined_spread, picked, record_batch, saved, text_bytes
 from weftgraph.llm.components import connected_components
 
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
@@ -362,9 +363,15 @@ def _similar(source: DataFrame, width: int, similarity: float, slack: float, sha
     first (the least id of the node with its row: struct missing, id, row).
     """
     spark = source.sparkSession
-    sample = source.orderBy(F.xxhash64("__id", "__text")).limit(2_000).select("__text").toPandas()["__text"]
-    found, often = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(t, width)) for t in sample)]), return_counts=True)
-    common = spark.sparkContext.broadcast(found[often >= 3])
+    sample = hashed_sample(source.select("__text"), F.xxhash64("__text"), 2_000)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (text,) in zip(*picked(batch, "__text"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, width)).view(np.int64))], names=["key"])
+
+    often = sample.mapInArrow(distinct, "key long").groupBy("key").count().where("count >= 3").select("key")
+    common = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in often.collect()], np.int64).view(np.uint64)))
     names = source.columns
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     more = ["__row", "__node", "__size", "__keys", "__hist", "__sig"]
@@ -392,10 +399,11 @@ def _similar(source: DataFrame, width: int, similarity: float, slack: float, sha
     facts = [F.first(c).alias(n) for c, n in (("__size", "n"), ("__hist", "hist"), ("__sig", "sig"), ("__keys", "keys"))]
     least = F.min(F.struct(F.col("__id").isNull().alias("missing"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("first")
     nodes = saved(rows.groupBy(F.col("__node").alias("node")).agg(*facts, least), "distinct_shingles")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key_sizes")
-    met = joined_spread(keyed, sizes, "key")
-    cells = dealt(met, shard_rows, tasks_for(sizes, shard_rows, 100_000)).join(nodes.select("node", "n", "hist", "sig"), "node")
+    keyed = nodes.select("node", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    met = saved(keyed.where("n > 1"), "keys")
+    copies = met.agg(F.sum(F.ceil(F.col("n") / shard_rows))).first()[0] or 0
+    tasks = int(max(spark.sparkContext.defaultParallelism, -(-copies // 100_000)))
+    cells = dealt(met, shard_rows, tasks).join(nodes.select("node", "n", "hist", "sig"), "node")
     coarse = connected_components(cells.groupBy("task").applyInPandas(lambda pdf: likely_links(pdf, similarity, similarity - slack), "a long, b long"))
     # one text for each node of a coarse class; copies are left out before the shuffle
     members = coarse.select("node", F.col("component").alias("key"))
