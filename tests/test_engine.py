@@ -100,7 +100,13 @@ def test_names_and_budgets(spark):
         assert totals.total_tokens <= budget and totals.total_tokens >= last
         last = totals.total_tokens
     nobody = engine.retrieve_by_names(names.where("name = 'nobody'"))
-    assert nobody.scored_entities.count() == 0 and nobody.markdown().count() == 0
+    assert nobody.scored_entities.count() == 0
+    # a query that finds nothing has its row all the same
+    assert [(r.query_id, r.text) for r in nobody.markdown().collect()] == [(0, "")] and nobody.triples().first().text == ""
+    empty = nobody.payload().first()
+    assert (empty.entities, empty.relations, empty.total_tokens, empty.budget) == ([], [], 0, CONFIG.max_tokens)
+    both = engine.retrieve_by_names(spark.createDataFrame([(0, "Ana Silva", 0), (7, "nobody", 0)], "query_id long, name string, pos int"))
+    assert {r.query_id: r.text != "" for r in both.markdown().collect()} == {0: True, 7: False}
 
 
 def test_counter_with_public_ranks(spark):
@@ -125,6 +131,35 @@ def test_upsert(spark):
         mut.upsert_nodes(g, node_rows(spark, [("x", "t", "d", [1, 2, 3])]), dim=2)
 
 
+def test_white_space_is_no_text(spark):
+    """A description of blanks is empty: it overwrites nothing in a resolved upsert and is null in a plain one."""
+    g = graph(spark, [(0, "a", "t", "d")], [], [(0, [1, 0])])
+    blank = node_rows(spark, [(" a ", " u ", "  \t", None)])
+    same = resolve_entities(g, blank)[0].nodes.first()
+    assert (same.type, same.description) == ("t", "d")
+    plain = mut.upsert_nodes(g, blank).nodes.first()
+    assert (plain.type, plain.description) == ("u", None)
+    twice, _ = resolve_entities(g, node_rows(spark, [("b", "t", " d\n", [1, 0])]), ResolutionConfig(threshold=0.9))
+    assert twice.nodes.first().description == "d"
+
+
+def test_a_retrieval_reads_the_graph_once(spark, tmp_path):
+    """What is rendered comes from rows that were written: no file of the graph is in the plan, and few exchanges are."""
+    path = str(tmp_path / "graph")
+    assistant(spark, path)
+    found = Engine.open_or_create(spark, path, CONFIG).retrieve(query(spark, [0.98, 0.02, 0, 0]), QueryOptions(2, 500))
+    for df in (found.markdown(), found.json(), found.triples()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" not in plan and plan.count("Exchange") < 25
+
+
+def test_named_counters_do_not_fall_back():
+    from weftgraph.functions.text import named_bpe_counter
+
+    with pytest.raises(Exception):
+        named_bpe_counter("no such encoding")
+
+
 def test_edges_and_deletes(spark):
     g = graph(spark, range(4), [(1, 1, 2, 0.5), (2, 2, 3, 0.5), (3, 3, 3, 0.5)], [(i, [1, 0]) for i in range(4)])
     more = mut.add_edges(mut.remove_edges(g, spark.createDataFrame([(2,)], "edge_id long")), edge_rows(spark, [(0, 1, " X ", 7.0, True), (1, 0, "Y", -1.0, False)]))
@@ -291,3 +326,9 @@ def test_streaming_ingest(spark, tmp_path):
     ingest_edges(links, engine, str(tmp_path / "ce")).awaitTermination()
     ingest_edges(links, engine, str(tmp_path / "ce2")).awaitTermination()  # a replay
     assert engine.graph.edges.count() == 6
+    # a parallel edge is no replay
+    edge_rows(spark, [(0, 1, " LIDERADO_POR ", 0.5, True)]).write.mode("append").parquet(str(tmp_path / "edges"))
+    ingest_edges(links, engine, str(tmp_path / "ce")).awaitTermination()
+    again = Engine.open_or_create(spark, str(tmp_path / "g"), CONFIG)
+    assert engine.graph.edges.count() == 7 and again.graph.edges.where("src = 0 and dst = 1").count() == 2 and again.ingested == {"edges": 1}
+    assert sorted(map(str, again.graph.incoming().collect())) == sorted(map(str, again.graph.edges.collect()))

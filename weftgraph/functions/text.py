@@ -42,27 +42,18 @@ def bpe_counter(ranks_path: str, pattern: str, special: dict[str, int] | None =
 
 
 def named_bpe_counter(encoding: str = "cl100k_base") -> TokenCounter:
-    """By a named public encoding where its ranks are at hand; the heuristic where they are not."""
+    """By a named public encoding. Its ranks must be at hand on the driver: otherwise this raises, as other counts would change the budget's meaning."""
+    import tiktoken
 
-    def count(text: Column) -> Column:
-        try:
-            import tiktoken
+    tiktoken.get_encoding(encoding)
 
-            tiktoken.get_encoding(encoding)
-        except Exception:  # no network and no cached ranks: any of several errors
-            return heuristic_tokens(text)
-
-        @F.pandas_udf("int")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            import tiktoken
-
-            coder = tiktoken.get_encoding(encoding)
-            for texts in batches:
-                yield texts.map(lambda t: len(coder.encode(t or "", allowed_special="all"))).astype("int32")
-
-        return run(text)
+    @F.pandas_udf("int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = tiktoken.get_encoding(encoding)
+        for texts in batches:
+            yield texts.map(lambda t: len(coder.encode(t or "", allowed_special="all"))).astype("int32")
 
-    return count
+    return run
 
 
 @F.pandas_udf(StringType())

@@ -8,23 +8,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.functions.text import trimmed
+from weftgraph.functions.vectors import sq8_quantize
 from weftgraph.plans.config import EDGES, NODES, VECTORS
 
 
 @dataclass(frozen=True)
 class PropertyGraph:
-    """nodes, edges and vectors; an operation returns a new graph."""
+    """nodes, edges and vectors; an operation returns a new graph.
+
+    edges_by_dst: the same edges laid out by their target, where a snapshot has them
+    so; a graph with other edges has none.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     vectors: DataFrame
+    edges_by_dst: DataFrame | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession) -> PropertyGraph:
         return cls(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES), spark.createDataFrame([], VECTORS))
 
     def having(self, **frames: DataFrame) -> PropertyGraph:
-        return replace(self, **frames)
+        return replace(self, **(frames | {"edges_by_dst": None} if "edges" in frames else frames))
+
+    def incoming(self) -> DataFrame:
+        """The edges, by dst where they are laid out so."""
+        return self.edges if self.edges_by_dst is None else self.edges_by_dst
 
     # look-ups (filters reach the Parquet scan) ---------------------------------
 
@@ -38,7 +48,7 @@ class PropertyGraph:
         return self.active_nodes().where(F.col("node_id") == node_id)
 
     def node_by_name(self, name: str) -> DataFrame:
-        return self.active_nodes().where(F.col("name") == name.strip())
+        return self.active_nodes().where(F.col("name") == trimmed(F.lit(name)))
 
     def nodes_by_names(self, names: DataFrame) -> DataFrame:
         """names: query_id, name, pos. Adds node_id; names that no node has go."""
@@ -51,6 +61,10 @@ class PropertyGraph:
     def vector(self, node_id: int) -> DataFrame:
         return self.vectors.where(F.col("node_id") == node_id)
 
+    def quantized_vector(self, node_id: int) -> DataFrame:
+        """node_id, data, scale, norm: the eight-bit form of one vector."""
+        return self.vector(node_id).select("node_id", sq8_quantize(F.col("embedding")).alias("q")).select("node_id", "q.*")
+
     # neighbourhoods -------------------------------------------------------------
 
     def out_edges(self, nodes: DataFrame) -> DataFrame:
@@ -60,7 +74,7 @@ class PropertyGraph:
 
     def in_edges(self, nodes: DataFrame) -> DataFrame:
         order = Window.partitionBy("node_id").orderBy("edge_seq")
-        return nodes.select("node_id").join(self.edges, F.col("node_id") == F.col("dst")).withColumn("pos", F.row_number().over(order) - 1)
+        return nodes.select("node_id").join(self.incoming(), F.col("node_id") == F.col("dst")).withColumn("pos", F.row_number().over(order) - 1)
 
     def out_neighbors(self) -> DataFrame:
         """node_id, neighbor, edge_id over active edges; parallel edges stay."""

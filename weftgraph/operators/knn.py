@@ -30,12 +30,12 @@ def min_score(df: DataFrame, group: list[str], score: str = "score") -> DataFram
     return df.groupBy(*group).agg(F.min(score).alias("min_score"))
 
 
-def scores_of(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """(queries, vectors) in double."""
+def scores_of(metric: Metric, q: np.ndarray, x: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
+    """(queries, vectors) in double. norms: those of the original vectors, where x has what their codes give back."""
     if metric in (Metric.COSINE, Metric.DOT):
         out = q @ x.T
         if metric is Metric.COSINE:
-            size = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
+            size = np.sqrt((q * q).sum(1))[:, None] * (np.sqrt((x * x).sum(1)) if norms is None else norms)[None, :]
             out = np.where(size < TINY, 0.0, np.clip(out / np.where(size < TINY, 1.0, size), -1.0, 1.0))
         return out
     if metric is Metric.EUCLIDEAN:
@@ -43,10 +43,10 @@ def scores_of(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.stack([np.abs(x - v).sum(1) for v in q])
 
 
-def _best(metric: Metric, query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+def _best(metric: Metric, query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, norms: np.ndarray | None = None) -> pd.DataFrame:
     out = []
     for at in range(0, len(q), 64):
-        scores = scores_of(metric, q[at : at + 64], x)
+        scores = scores_of(metric, q[at : at + 64], x, norms)
         for i, row in enumerate(scores):
             order = np.lexsort((ids, row if metric.is_distance else -row))[:k]
             out.append(pd.DataFrame({"query_id": query_ids[at + i], "node_id": ids[order], "score": row[order]}))
@@ -65,7 +65,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.
     as columns, more as matrix products with the queries sent to all tasks (each
     task keeps k of its own per query before the shuffle), and beyond the size
     bound both sides are dealt into blocks that meet by an equi-join. Distances
-    ascend, similarities descend; ties go to the smaller node_id.
+    ascend, similarities descend; ties go to the smaller node_id. Eight-bit cosines
+    go by the norm of the original vector whatever the number of queries.
     """
     quantized = vectors.schema["embedding"].dataType.typeName() == "struct"
     facts = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("most"), F.min(F.size("embedding")).alias("least")).first()
@@ -79,10 +80,15 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.
         score = sq8_metric(metric, F.col("q"), F.col("embedding")) if quantized else distance_or_similarity(metric, F.col("q"), F.col("embedding"))
         found = pair.select("query_id", "node_id", score.alias("score"))
         return top_k(found, ["query_id"], k, "score", metric.is_distance)
-    if quantized:
-        # keep the original norm for the cosine: rescale what the codes give
-        plain = sq8_dequantize(F.col("embedding"))
-        vectors = vectors.select("node_id", plain.alias("embedding"))
+    norms = lambda pdf: pdf["norm"].to_numpy(np.float64) if quantized else None
+    if quantized and metric in (Metric.COSINE, Metric.DOT):
+        # codes times scale in double, and the norm of the original vector, as the columns have them
+        scale = F.col("embedding.scale").cast("double")
+        vectors = vectors.select("node_id", F.transform("embedding.data", lambda x: x.cast("double") * scale).alias("v"), F.col("embedding.norm").alias("norm")).withColumnRenamed("v", "embedding")
+    elif quantized:
+        vectors = vectors.select("node_id", sq8_dequantize(F.col("embedding")).alias("embedding"), F.col("embedding.norm").alias("norm"))
+    else:
+        vectors = vectors.select("node_id", "embedding")
     if facts.n * facts.most <= BROADCAST_COMPONENTS:
         rows = keys.collect()
         sent = vectors.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([r.q for r in rows], np.float64)))
@@ -91,19 +97,19 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.
             ids, q = sent.value
             for pdf in batches:
                 if len(pdf):
-                    yield _best(metric, ids, q, pdf["node_id"].to_numpy(), _matrix(pdf["embedding"]), k)
+                    yield _best(metric, ids, q, pdf["node_id"].to_numpy(), _matrix(pdf["embedding"]), k, norms(pdf))
 
-        found = vectors.select("node_id", "embedding").mapInPandas(run, "query_id long, node_id long, score double")
+        found = vectors.mapInPandas(run, "query_id long, node_id long, score double")
         return top_k(found, ["query_id"], k, "score", metric.is_distance)
     n = vectors.count()
     shards, blocks = -(-n // SHARD_VECTORS), -(-facts.n // BLOCK_QUERIES)
-    left = vectors.select(F.pmod(F.xxhash64("node_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "node_id", "embedding")
+    left = vectors.select(F.pmod(F.xxhash64("node_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *vectors.columns)
     right = keys.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "q")
 
     def meet(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
             return pd.DataFrame({"query_id": [], "node_id": [], "score": []})
-        return _best(metric, asked["query_id"].to_numpy(), _matrix(asked["q"]), own["node_id"].to_numpy(), _matrix(own["embedding"]), k)
+        return _best(metric, asked["query_id"].to_numpy(), _matrix(asked["q"]), own["node_id"].to_numpy(), _matrix(own["embedding"]), k, norms(own))
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, "query_id long, node_id long, score double")
     return top_k(found, ["query_id"], k, "score", metric.is_distance)

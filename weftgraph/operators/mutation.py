@@ -24,11 +24,11 @@ def _numbered(df: DataFrame, order: list[str], base: int, name: str) -> DataFram
 def upsert_nodes(graph: PropertyGraph, rows: DataFrame, dim: int | None = None) -> PropertyGraph:
     """rows: name, type, description, embedding (nullable), seq. The last row of a name wins.
 
-    Names are trimmed and may not be empty. An existing node's type and description
+    Names, types and descriptions are trimmed; names may not be empty. An existing node's type and description
     are overwritten, by empty ones (null) too; its vector stays where no row of the
     batch brings one. New nodes get the next ids in order of their first seq.
     """
-    rows = rows.withColumn("name", trimmed(F.col("name")))
+    rows = rows.withColumns({c: trimmed(F.col(c)) for c in ("name", "type", "description")})
     checks = rows.agg(F.count_if(F.col("name").isNull() | (F.col("name") == "")).alias("empty"), F.max(F.size("embedding")).alias("most"), F.min(F.when(F.col("embedding").isNotNull(), F.size("embedding"))).alias("least")).first()
     if checks.empty:
         raise InvalidConfig(f"{checks.empty} rows have an empty name")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftgraph.functions.text import TokenCounter, heuristic_tokens, two_decimals
 from weftgraph.operators.scoring import Subgraph
 from weftgraph.plans.config import MarkdownConfig
+from weftgraph.plans.materialize import materialized
 
 #: Labels of nodes and relations that have no name.
 ENTITY, RELATION, TARGET, OTHER_TARGET, SOURCE = "Entidade", "RELACAO", "Alvo", "Destino", "Origem"
@@ -24,6 +25,19 @@ def relation_line(relation: Column, target: Column, weight: Column | None) -> Co
     return F.concat(label, F.lit("\n")) if weight is None else F.concat(label, F.lit(" (Confiança: "), two_decimals(weight), F.lit(")\n"))
 
 
+def named_entities(entities: DataFrame, nodes: DataFrame) -> DataFrame:
+    """entities with their node's name, looked up where they do not carry it."""
+    return entities if "name" in entities.columns else entities.join(nodes.select("node_id", "name"), "node_id", "left")
+
+
+def named_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with src_name and dst_name, looked up where they do not carry them."""
+    for end in ("src", "dst"):
+        if f"{end}_name" not in edges.columns:
+            edges = edges.join(nodes.select(F.col("node_id").alias(end), F.col("name").alias(f"{end}_name")), end, "left")
+    return edges
+
+
 @dataclass(frozen=True)
 class Pruned:
     """What fits: entities and edges as in the subgraph, and totals (query_id, total_tokens, budget, entity_count, edge_count)."""
@@ -44,12 +58,11 @@ def prune(subgraph: Subgraph, nodes: DataFrame, budget: int, counter: TokenCount
     """
     spark = nodes.sparkSession
     title = spark.range(1).select(counter(F.lit(f"# {MarkdownConfig().title}:\n")).alias("n")).first().n
-    names = nodes.select("node_id", "name")
     item = "struct<later:int,kind:int,source:int,seq:long,id:long,cost:int>"
     shape = lambda later, kind, source, seq, key, cost: F.struct(later.cast("int").alias("later"), F.lit(kind).alias("kind"), source.cast("int").alias("source"), seq.cast("long").alias("seq"), key.cast("long").alias("id"), cost.cast("int").alias("cost")).cast(item).alias("item")
-    own = subgraph.entities.join(names, "node_id", "left").withColumn("line", entity_line(F.col("name"), F.col("final_score")))
+    own = named_entities(subgraph.entities, nodes).withColumn("line", entity_line(F.col("name"), F.col("final_score")))
     own = own.select("query_id", shape(F.col("place"), 0, F.col("place"), F.lit(0), F.col("node_id"), counter(F.col("line"))))
-    links = subgraph.edges.join(names.withColumnRenamed("node_id", "dst"), "dst", "left").withColumn("line", relation_line(F.col("relation"), F.col("name"), F.col("weight")))
+    links = named_ends(subgraph.edges, nodes).withColumn("line", relation_line(F.col("relation"), F.col("dst_name"), F.col("weight")))
     links = links.select("query_id", shape(F.greatest("src_place", "dst_place"), 1, F.col("src_place"), F.col("edge_seq"), F.col("edge_id"), counter(F.col("line"))))
     queries = own.select("query_id").distinct()
     if title >= budget:
@@ -63,7 +76,7 @@ def prune(subgraph: Subgraph, nodes: DataFrame, budget: int, counter: TokenCount
         state(F.lit(title), F.lit(False), F.array().cast(kept)),
         lambda s, x: F.when(fits(s, x), state(s["spent"] + x["cost"], s["stopped"], F.concat(s["taken"], F.array(F.struct(x["kind"].alias("kind"), x["id"].alias("id")))))).otherwise(state(s["spent"], s["stopped"] | (x["kind"] == 0), s["taken"])),
     )
-    folded = own.unionByName(links).groupBy("query_id").agg(fold.alias("s"))
+    folded = materialized(own.unionByName(links).groupBy("query_id").agg(fold.alias("s")))  # a row a query, read by what follows
     taken = folded.select("query_id", F.explode("s.taken").alias("t")).select("query_id", "t.kind", "t.id")
     entities = subgraph.entities.join(taken.where("kind = 0").select("query_id", F.col("id").alias("node_id")), ["query_id", "node_id"], "left_semi")
     edges = subgraph.edges.join(taken.where("kind = 1").select("query_id", F.col("id").alias("edge_id")), ["query_id", "edge_id"], "left_semi")

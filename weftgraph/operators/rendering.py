@@ -8,15 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftgraph.functions.text import two_decimals
-from weftgraph.operators.pruning import ENTITY, OTHER_TARGET, RELATION, SOURCE, TARGET, entity_line, relation_line
+from weftgraph.operators.pruning import ENTITY, OTHER_TARGET, RELATION, SOURCE, TARGET, entity_line, named_ends, named_entities, relation_line
 from weftgraph.plans.config import MarkdownConfig, MarkdownStyle
 
 
 def _named(edges: DataFrame, nodes: DataFrame, target: str) -> DataFrame:
     """edges with source, target and label; what has no name gets its fallback."""
-    names = lambda node, name: nodes.select(F.col("node_id").alias(node), F.col("name").alias(name))
-    rows = edges.join(names("src", "source"), "src", "left").join(names("dst", "target"), "dst", "left")
-    return rows.withColumn("source", F.coalesce("source", F.lit(SOURCE))).withColumn("target", F.coalesce("target", F.lit(target))).withColumn("label", F.coalesce("relation", F.lit(RELATION)))
+    rows = named_ends(edges, nodes)
+    return rows.withColumn("source", F.coalesce("src_name", F.lit(SOURCE))).withColumn("target", F.coalesce("dst_name", F.lit(target))).withColumn("label", F.coalesce("relation", F.lit(RELATION)))
 
 
 def _joined(lines: DataFrame, head: Column) -> DataFrame:
@@ -31,7 +30,7 @@ def _order(*columns: Column) -> Column:
 
 def markdown(entities: DataFrame, edges: DataFrame, nodes: DataFrame, config: MarkdownConfig = MarkdownConfig()) -> DataFrame:
     """query_id, text; a query without entities has no row (its text is empty)."""
-    named = entities.join(nodes.select("node_id", "name"), "node_id", "left")
+    named = named_entities(entities, nodes)
     score = F.col("final_score") if config.scores else None
     if config.style is MarkdownStyle.HIERARCHICAL:
         own = named.select("query_id", _order(F.col("place"), F.lit(0), F.lit(0)), entity_line(F.col("name"), score).alias("line"))
@@ -59,7 +58,7 @@ def triples(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def json_payload(entities: DataFrame, edges: DataFrame, totals: DataFrame, nodes: DataFrame) -> DataFrame:
     """query_id, entities (id, name, score), relations (source_id, source, relation, target_id, target, weight), total_tokens, budget."""
-    named = entities.join(nodes.select("node_id", "name"), "node_id", "left")
+    named = named_entities(entities, nodes)
     own = named.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", F.struct(F.col("node_id").alias("id"), F.coalesce("name", F.lit(ENTITY)).alias("name"), F.col("final_score").cast("float").alias("score")).alias("v")))).alias("e"))
     rows = _named(edges, nodes, OTHER_TARGET)
     links = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("src_place", "edge_seq", F.struct(F.col("src").alias("source_id"), "source", F.col("label").alias("relation"), F.col("dst").alias("target_id"), "target", F.col("weight").cast("float").alias("weight")).alias("v")))).alias("r"))

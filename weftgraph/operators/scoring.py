@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.functions.vectors import clamp
-from weftgraph.operators.traversal import bfs
+from weftgraph.operators.traversal import FRONTIER, bfs
 from weftgraph.plans.config import HybridScoreConfig, TraversalConfig
+from weftgraph.plans.materialize import materialized
 
 
 def hybrid_scores(seeds: DataFrame, traversed: DataFrame, config: HybridScoreConfig) -> DataFrame:
@@ -32,9 +33,16 @@ def hybrid_scores(seeds: DataFrame, traversed: DataFrame, config: HybridScoreCon
 
 
 def induced_edges(edges: DataFrame, scored: DataFrame) -> DataFrame:
-    """query_id and the active edges with both ends among a query's scored nodes, of any weight, with the places of their ends."""
-    ends = lambda node, place: scored.select("query_id", F.col("node_id").alias(node), F.col("place").alias(place))
-    return edges.where("active").join(ends("src", "src_place"), "src").join(ends("dst", "dst_place"), ["query_id", "dst"]).select("query_id", "edge_id", "src", "dst", "relation", F.col("weight").cast("double").alias("weight"), "edge_seq", "src_place", "dst_place")
+    """query_id and the active edges with both ends among a query's scored nodes, of any weight, with the places of their ends (and their names, where scored has them).
+
+    Up to FRONTIER scored rows, counted, are sent to the edges, which are then read once and in place.
+    """
+    names = ["name"] if "name" in scored.columns else []
+    ends = lambda node: scored.select("query_id", F.col("node_id").alias(node), *[F.col(c).alias(f"{node}_{c}") for c in ("place", *names)])
+    small = scored.count() <= FRONTIER
+    sent = F.broadcast if small else lambda df: df
+    both = edges.where("active").join(sent(ends("src")), "src").join(sent(ends("dst")), ["query_id", "dst"])
+    return both.select("query_id", "edge_id", "src", "dst", "relation", F.col("weight").cast("double").alias("weight"), "edge_seq", "src_place", "dst_place", *[f"{e}_name" for e in ("src", "dst") if names])
 
 
 @dataclass(frozen=True)
@@ -64,7 +72,13 @@ class Subgraph:
         return n.join(m, "query_id", "left").select("query_id", "entity_count", F.coalesce("edge_count", F.lit(0)).alias("edge_count"))
 
 
-def extract_subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, traversal: TraversalConfig, scoring: HybridScoreConfig) -> Subgraph:
-    """Traversal, then scores and threshold (a dropped node may have led to kept ones), then induced edges."""
-    scored = hybrid_scores(seeds, bfs(nodes, edges, seeds, traversal), scoring)
-    return Subgraph(scored, induced_edges(edges, scored), seeds)
+def extract_subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, traversal: TraversalConfig, scoring: HybridScoreConfig, edges_by_dst: DataFrame | None = None) -> Subgraph:
+    """Traversal, then scores and threshold (a dropped node may have led to kept ones), then induced edges.
+
+    Entities (with their names) and edges (with those of their ends) are computed
+    once and written; pruning and rendering read these rows only.
+    """
+    scored = materialized(hybrid_scores(seeds, bfs(nodes, edges, seeds, traversal, edges_by_dst), scoring))
+    sent = F.broadcast(scored) if scored.count() <= FRONTIER else scored
+    named = materialized(nodes.select("node_id", "name").join(sent, "node_id").select(*scored.columns, "name"))
+    return Subgraph(named, materialized(induced_edges(edges, named)), seeds)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,8 +19,9 @@ from weftgraph.operators.scoring import extract_subgraph, hybrid_scores
 from weftgraph.operators.traversal import bfs
 from weftgraph.plans.config import Direction, EngineConfig, HybridScoreConfig, MarkdownConfig, MarkdownStyle, Metric, Quantization, QueryOptions, ResolutionConfig, TraversalConfig
 from weftgraph.plans.derived import COMMERCE_EDGES, COMMERCE_NODES, commerce, read, ring, ring_edges_sql, ring_nodes_sql
+from weftgraph.plans.materialize import shared_folder
 from weftgraph.plans.retriever import Engine
-from weftgraph.sources import snapshot
+from weftgraph.sources import graph_file, snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,6 +46,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+#: The queries of searches: every row whose id is divisible by 50, against all rows.
+_ASKED = "vec_id % 50 = 0"
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -117,16 +122,16 @@ def _knn_query(name: str, metric: Metric, where: str, k: int) -> None:
     _query(name, _knn_sql(metric, where, k))(run)
 
 
-_knn_query("knn_cosine", Metric.COSINE, "vec_id in (3, 77)", 10)
-_knn_query("knn_dot", Metric.DOT, "vec_id in (3, 77)", 10)
-_knn_query("knn_euclidean", Metric.EUCLIDEAN, "vec_id in (3, 77)", 10)
-_knn_query("knn_manhattan", Metric.MANHATTAN, "vec_id in (3, 77)", 10)
-_knn_query("knn_multi_query", Metric.COSINE, "vec_id % 10 = 0", 5)
+_knn_query("knn_cosine", Metric.COSINE, _ASKED, 10)
+_knn_query("knn_dot", Metric.DOT, _ASKED, 10)
+_knn_query("knn_euclidean", Metric.EUCLIDEAN, _ASKED, 10)
+_knn_query("knn_manhattan", Metric.MANHATTAN, _ASKED, 10)
+_knn_query("knn_multi_query", Metric.COSINE, _ASKED, 5)
 
 
-@_query("topk_min_score", f"select query_id, min(score) as min_score from ({_knn_sql(Metric.COSINE, 'vec_id % 10 = 0', 3)}) group by query_id")
+@_query("topk_min_score", f"select query_id, min(score) as min_score from ({_knn_sql(Metric.COSINE, _ASKED, 3)}) group by query_id")
 def topk_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, asked = _tables(spark, sf_dir, "vec_id % 10 = 0")
+    vectors, asked = _tables(spark, sf_dir, _ASKED)
     return min_score(knn(vectors, asked, 3), ["query_id"]).select("query_id", r6(F.col("min_score")).alias("min_score"))
 
 
@@ -174,14 +179,40 @@ def sq8_dot_sym(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""select query_id, node_id, round(score, 6) as score, pos from (
     select *, row_number() over (partition by query_id order by score desc, node_id) - 1 as pos from (
       select query_id, vec_id as node_id, least(1.0, greatest(-1.0, list_dot_product(q, data::double[]) * scale::double / (sqrt(list_dot_product(q, q)) * norm::double))) as score
-      from (select vec_id as query_id, {_V} as q from embeddings where vec_id in (3, 77)), {_Q8})) where pos < 10""",
+      from (select vec_id as query_id, {_V} as q from embeddings where {_ASKED}), {_Q8})) where pos < 10""",
 )
 def sq8_cosine_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, asked = _tables(spark, sf_dir, "vec_id in (3, 77)")
+    vectors, asked = _tables(spark, sf_dir, _ASKED)
     found = knn(vectors.select("node_id", vx.sq8_quantize(F.col("embedding")).alias("embedding")), asked, 10)
     return found.select("query_id", "node_id", r6(F.col("score")).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
+def _sq8_all(name: str, metric: Metric, score: str, way: str) -> None:
+    """Every vector against all eight-bit ones: the queries go to the vectors as a matrix."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        vectors, asked = _tables(spark, sf_dir, "true")
+        found = knn(vectors.select("node_id", vx.sq8_quantize(F.col("embedding")).alias("embedding")), asked, 3, metric)
+        return found.select("query_id", "node_id", r6(F.col("score")).alias("score"), F.col("pos").cast("long").alias("pos"))
+
+    _query(
+        name,
+        f"""select query_id, node_id, round(score, 6) as score, pos from (
+        select *, row_number() over (partition by query_id order by score {way}, node_id) - 1 as pos from (
+          select query_id, vec_id as node_id, {score} as score from (select vec_id as query_id, {_V} as q from embeddings), {_Q8})) where pos < 3""",
+    )(run)
+
+
+_sq8_all("sq8_cosine_knn_all", Metric.COSINE, "list_dot_product(q, data::double[]) * scale::double / (sqrt(list_dot_product(q, q)) * norm::double)", "desc")
+_sq8_all("sq8_dot_knn_all", Metric.DOT, "list_dot_product(q, data::double[]) * scale::double", "desc")
+
+
+@_query("sq8_point", f"select vec_id as node_id, array_to_string(data, ',') as data, round(scale::double, 6) as scale, round(norm::double, 6) as norm from {_Q8} where vec_id = 7")
+def sq8_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ring(spark, sf_dir).quantized_vector(7)
+    return found.select("node_id", F.array_join(F.col("data").cast("array<string>"), ",").alias("data"), r6(F.col("scale").cast("double")).alias("scale"), r6(F.col("norm").cast("double")).alias("norm"))
+
+
 @_query("sq8_memory", "select count(*) as vectors, sum(len(embedding) + 8)::bigint as sq8_bytes, sum(len(embedding) * 4)::bigint as float_bytes from embeddings")
 def sq8_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quantized(spark, sf_dir).agg(F.count("*").alias("vectors"), F.sum(vx.sq8_bytes(F.col("q8"))).alias("sq8_bytes"), F.sum(vx.float_bytes(F.col("embedding"))).alias("float_bytes"))
@@ -197,6 +228,29 @@ _query("in_neighbors", _IN)(lambda s, d: ring(s, d).in_neighbors())
 _query("all_neighbors", f"select *, 0 as dir from ({_OUT}) union all select *, 1 as dir from ({_IN})")(lambda s, d: ring(s, d).all_neighbors())
 
 
+@_query("out_edges", f"select src as node_id, edge_id, dst, relation, row_number() over (partition by src order by edge_id) - 1 as pos from {_E}")
+def out_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ring(spark, sf_dir)
+    return g.out_edges(g.nodes).select("node_id", "edge_id", "dst", "relation", F.col("pos").cast("long").alias("pos"))
+
+
+@_query("in_edges", f"select dst as node_id, edge_id, src, relation, row_number() over (partition by dst order by edge_id) - 1 as pos from {_E}")
+def in_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ring(spark, sf_dir)
+    return g.in_edges(g.nodes).select("node_id", "edge_id", "src", "relation", F.col("pos").cast("long").alias("pos"))
+
+
+@_query(
+    "point_lookups",
+    f"select 'node' as what, node_id as id, name as value from {_N} where node_id = 5 union all select 'name', node_id, name from {_N} where name = 'vec_9' union all select 'edge', edge_id, relation from {_E} where edge_id = 16 union all select 'vector', vec_id, round(sqrt(list_dot_product({_V}, {_V})), 4)::varchar from embeddings where vec_id = 11",
+)
+def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ring(spark, sf_dir)
+    row = lambda df, what, key, value: df.select(F.lit(what).alias("what"), F.col(key).alias("id"), value.cast("string").alias("value"))
+    found = row(g.node(5), "node", "node_id", F.col("name")).unionByName(row(g.node_by_name(" vec_9 "), "name", "node_id", F.col("name")))
+    return found.unionByName(row(g.edge(16), "edge", "edge_id", F.col("relation"))).unionByName(row(g.vector(11), "vector", "node_id", F.round(vx.norm(F.col("embedding")), 4)))
+
+
 @_query("commerce_edges", f"select src, dst, relation, round(weight, 6) + 0.0 as weight from ({COMMERCE_EDGES})")
 def commerce_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commerce(spark, sf_dir)[1].select("src", "dst", "relation", (F.round("weight", 6) + 0.0).alias("weight"))
@@ -350,9 +404,9 @@ _EDGE_LINE = "'  - ' || relation || ' -> [' || name || '] (Confiança: ' || prin
 _TITLE = "'# Contexto Recuperado do Conhecimento:' || chr(10)"
 
 
-def _prune_sql(budget: int) -> str:
+def _prune_sql(budget: int, scored: str | None = None) -> str:
     """The item list of each query, walked by a recursive query."""
-    return f"""with recursive scored as ({_scored_sql(_HYBRID)}), induced as ({_INDUCED}), names as (select * from {_N}),
+    return f"""with recursive scored as ({scored or _scored_sql(_HYBRID)}), induced as ({_INDUCED}), names as (select * from {_N}),
     items as (
       select query_id, place as later, 0 as kind, place as source, 0 as seq, s.node_id as id, {_TOKENS.format('(' + _LINE + ')')} as cost, {_LINE} as line from scored s join names n on n.node_id = s.node_id
       union all select query_id, greatest(src_place, dst_place), 1, src_place, edge_seq, edge_id, {_TOKENS.format('(' + _EDGE_LINE + ')')}, {_EDGE_LINE} from induced i join names n on n.node_id = i.dst),
@@ -442,6 +496,21 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mut.upsert_nodes(ring(spark, sf_dir), _upserts(spark, sf_dir)).nodes.select("node_id", "name", "type", "description")
 
 
+@_query("upsert_trimmed", f"select node_id, name, case when node_id = 3 then 'new' else type end as type, case when node_id = 3 then 'a text' end as description from {_N}")
+def upsert_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space around names, types and descriptions goes; what is left empty is null."""
+    rows = spark.createDataFrame([("\tvec_3 ", " new\n", "  a text ", None, 1), (" vec_3", "new ", " \u2003a text\t", None, 2)], "name string, type string, description string, embedding array<float>, seq long")
+    return mut.upsert_nodes(ring(spark, sf_dir), rows).nodes.select("node_id", "name", "type", "description")
+
+
+@_query("vector_upsert", f"select vec_id, round(sqrt(list_dot_product({_V}, {_V})) * case when vec_id % 3 = 0 then 2 else 1 end, 5) as norm from embeddings")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the vectors are replaced by their doubles."""
+    g = ring(spark, sf_dir)
+    changed = mut.put_vectors(g, g.vectors.where("node_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: x * 2)))
+    return changed.vectors.select(F.col("node_id").alias("vec_id"), F.round(vx.norm(F.col("embedding")), 5).alias("norm"))
+
+
 @_query("add_edge_validated", f"select edge_id, src, dst, relation, round(weight, 6) as weight from {_E} union all select (select max(edge_id) from {_E}) + row_number() over (order by vec_id), vec_id, label::bigint, 'HAS_LABEL', round(least(greatest(label / 4.0::double - 0.25::double, 0), 1), 6) from embeddings")
 def add_edge_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"), F.col("label").cast("long").alias("dst"), F.lit(" HAS_LABEL ").alias("relation"), (F.col("label") / 4.0 - 0.25).alias("weight"), F.lit(True).alias("directed"), F.col("vec_id").alias("seq"))
@@ -502,19 +571,59 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("snapshot_roundtrip", f"select n.node_id, name, type, count(e.src) as degree, round(min(list_dot_product({_V}, {_V})), 6) as norm_squared from {_N} n join embeddings on vec_id = n.node_id left join {_E} e on e.src = n.node_id group by 1, 2, 3")
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-")
-    path = f"{base}/snapshot-{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark)}/snapshot-{spark.sparkContext.applicationId}"
     snapshot.save(ring(spark, sf_dir), path, _RING_CONFIG)
     g = snapshot.load(spark, path, _RING_CONFIG)
     return g.nodes.select("node_id", "name", "type").join(g.out_degree(), "node_id").join(g.vectors, "node_id").select("node_id", "name", "type", "degree", r6(vx.norm_squared(F.col("embedding"))).alias("norm_squared"))
 
 
-def _retrieved(spark: SparkSession, sf_dir: str, where: str = "vec_id in (3, 77)"):
+def _file(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}.graph"
+    graph_file.write_graph(ring(spark, sf_dir), path, 64)
+    return path
+
+
+@_query("graph_file_nodes", f"select node_id, name, type, true as active, count(e.src) as degree from {_N} n left join {_E} e on e.src = n.node_id group by all")
+def graph_file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as one file and read back."""
+    g = graph_file.read_graph(spark, _file(spark, sf_dir))
+    return g.nodes.join(g.out_degree(), "node_id").select("node_id", "name", "type", "active", "degree")
+
+
+@_query("graph_file_edges", f"select edge_id, src, dst, relation, round(weight, 5) as weight from {_E}")
+def graph_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_file.read_section(spark, _file(spark, sf_dir), "edges").select("edge_id", "src", "dst", "relation", F.round(F.col("weight").cast("double"), 5).alias("weight"))
+
+
+@_query("graph_file_vectors", f"select vec_id as node_id, array_to_string(data, ',') as data, round(scale::double, 6) as scale, round(norm::double, 6) as norm from {_Q8}")
+def graph_file_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph_file.read_section(spark, _file(spark, sf_dir), "vectors")
+    return rows.select("node_id", F.array_join(F.col("data").cast("array<string>"), ",").alias("data"), r6(F.col("scale").cast("double")).alias("scale"), r6(F.col("norm").cast("double")).alias("norm"))
+
+
+@_query("graph_file_strings", f"select text from (select name as text from {_N} union select type from {_N} union select relation from {_E}) where text is not null")
+def graph_file_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_file.read_section(spark, _file(spark, sf_dir), "strings").select("text")
+
+
+@_query(
+    "graph_file_checksum",
+    f"""select 64 + 8 + 32 * n + 8 + 8 * (n + 1) + 32 * m + 8 + (64 + 8) * n + 4 + 4 * (k + 1) + bytes as length, true as sound from (
+      select (select count(*) from {_N}) as n, (select count(*) from {_E}) as m, count(*) as k, sum(strlen(text))::bigint as bytes from (select name as text from {_N} union select type from {_N} union select relation from {_E}))""",
+)
+def graph_file_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file's length by its layout, and whether the checksum in its header is that of its bytes."""
+    path = _file(spark, sf_dir)
+    stored = spark.read.format("binaryFile").load(path).select(F.conv(F.hex(F.reverse(F.expr(f"substring(content, {graph_file.CHECKSUM_AT + 1}, 4)"))), 16, 10).cast("long").alias("stored"))
+    return graph_file.file_checksums(spark, path).join(stored, F.lit(True)).select("length", (F.col("checksum") == F.col("stored")).alias("sound"))
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, where: str = _ASKED):
     asked = read(spark, sf_dir, "embeddings").where(where).select(F.col("vec_id").alias("query_id"), "embedding")
     return Engine(ring(spark, sf_dir), _RING_CONFIG).retrieve(asked, QueryOptions(max_tokens=200))
 
 
-_KNN_SEEDS = f"(select query_id, node_id, score, pos from ({_knn_sql(Metric.COSINE, 'vec_id in (3, 77)', 5).replace('round(score, 6)', 'score')})) as seeds"
+_KNN_SEEDS = f"(select query_id, node_id, score, pos from ({_knn_sql(Metric.COSINE, _ASKED, 5).replace('round(score, 6)', 'score')})) as seeds"
 
 
 @_query("retrieve_scored", f"select {_SCORED} from ({_scored_sql(_HYBRID, TraversalConfig(2, 0.2, 100), _KNN_SEEDS)})")
@@ -523,11 +632,11 @@ def retrieve_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "node_id", *[F.round(c, 9).alias(c) for c in ("final_score", "vector_score", "graph_score")], "depth", "rank", _no_edge(), F.col("place").cast("long").alias("place"))
 
 
-@_query("retrieve_markdown")
+@_query("retrieve_markdown", f"{_prune_sql(200, _scored_sql(_HYBRID, TraversalConfig(2, 0.2, 100), _KNN_SEEDS))} select query_id, {_TITLE} || string_agg(line, '' order by source, kind, seq) as text from kept group by query_id")
 def retrieve_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, text: the context of a batch of query vectors."""
-    return _retrieved(spark, sf_dir, "vec_id % 100 = 3").markdown()
+    return _retrieved(spark, sf_dir, _ASKED).markdown()

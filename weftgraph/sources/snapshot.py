@@ -11,7 +11,7 @@ from weftgraph.operators.graph import PropertyGraph
 from weftgraph.plans.config import EDGES, NODES, VECTORS, ChecksumMismatch, EngineConfig, Metric, Quantization, SnapshotCorrupt, UnsupportedVersion
 
 FORMAT_VERSION = 1
-_TABLES = {"nodes": NODES, "edges": EDGES, "vectors": VECTORS}
+_TABLES = {"nodes": NODES, "edges": EDGES, "vectors": VECTORS, "edges_by_dst": EDGES}
 
 
 def _files(spark: SparkSession, path: str) -> tuple[Any, Any]:
@@ -49,20 +49,22 @@ def content_hash(df: DataFrame) -> tuple[int, int]:
     return row.n, int(row.h) % (1 << 64)
 
 
-def save(graph: PropertyGraph, path: str, config: EngineConfig, buckets: int | None = None) -> int:
+def save(graph: PropertyGraph, path: str, config: EngineConfig, buckets: int | None = None, ingested: dict[str, int] | None = None) -> int:
     """Writes a new version and points CURRENT at it; returns the version.
 
     Edges are written in ranges of src, sorted by (src, edge_seq), so that a point
     look-up or a frontier's join reads few row groups. Vectors stay FLOAT; with
-    SQ8 their eight-bit form can be derived at any time.
+    SQ8 their eight-bit form can be derived at any time. Edges are written twice, in
+    ranges of src and of dst, so that both directions are read by ranges.
+    ingested: the last number of each source that the graph holds.
     """
     spark = graph.nodes.sparkSession
     current = _read_text(spark, f"{path}/CURRENT")
     version = int(current) + 1 if current else 1
     folder = f"{path}/v={version}"
     by = lambda df, *keys: (df.repartitionByRange(buckets, *keys[:1]) if buckets else df.repartitionByRange(*keys[:1])).sortWithinPartitions(*keys)
-    frames = {"nodes": by(graph.nodes, "node_id"), "edges": by(graph.edges, "src", "edge_seq"), "vectors": by(graph.vectors, "node_id")}
-    manifest: dict[str, Any] = {"format": FORMAT_VERSION, "dim": config.dim, "metric": config.metric.value, "quantization": config.quantization.value, "tables": {}}
+    frames = {"nodes": by(graph.nodes, "node_id"), "edges": by(graph.edges, "src", "edge_seq"), "vectors": by(graph.vectors, "node_id"), "edges_by_dst": by(graph.edges, "dst", "edge_seq")}
+    manifest: dict[str, Any] = {"format": FORMAT_VERSION, "dim": config.dim, "metric": config.metric.value, "quantization": config.quantization.value, "ingested": ingested or {}, "tables": {}}
     for name, df in frames.items():
         df.select(*[F.col(f.name).cast(f.dataType) for f in _TABLES[name]]).write.mode("overwrite").parquet(f"{folder}/{name}")
         n, h = content_hash(spark.read.schema(_TABLES[name]).parquet(f"{folder}/{name}"))
@@ -99,13 +101,17 @@ def load(spark: SparkSession, path: str, config: EngineConfig | None = None, ver
         raise SnapshotCorrupt(f"the snapshot has dim {found['dim']} and metric {Metric(found['metric']).name}, not {config.dim} and {config.metric.name}")
     frames = {}
     for name, schema in _TABLES.items():
+        if name not in found["tables"]:  # written before this table was
+            frames[name] = None
+            continue
         frames[name] = spark.read.schema(schema).parquet(f"{path}/v={found['version']}/{name}")
         if verify:
             n, h = content_hash(frames[name])
             facts = found["tables"][name]
             if (n, h) != (facts["rows"], facts["hash"]):
                 raise ChecksumMismatch(facts["hash"], h)
-    return PropertyGraph(**frames)
+    by_dst = frames.pop("edges_by_dst")
+    return PropertyGraph(**frames, edges_by_dst=by_dst)
 
 
 def quantization(found: dict[str, Any]) -> Quantization:

@@ -9,7 +9,7 @@ from weftgraph.plans.config import ResolutionConfig
 from weftgraph.plans.retriever import Engine
 
 
-def ingest_nodes(stream: DataFrame, engine: Engine, checkpoint: str, resolve: ResolutionConfig | None = None) -> StreamingQuery:
+def ingest_nodes(stream: DataFrame, engine: Engine, checkpoint: str, resolve: ResolutionConfig | None = None, **trigger) -> StreamingQuery:
     """Upserts each micro-batch (columns as upsert_nodes; as upsert_resolved with `resolve`).
 
     An upsert of the same batch twice gives the same graph, so a batch that is
@@ -25,16 +25,19 @@ def ingest_nodes(stream: DataFrame, engine: Engine, checkpoint: str, resolve: Re
         else:
             engine.upsert_resolved(batch, resolve)
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def ingest_edges(stream: DataFrame, engine: Engine, checkpoint: str) -> StreamingQuery:
-    """Adds each micro-batch's edges; edges that the graph already has word for word are a replay and are left out."""
+def ingest_edges(stream: DataFrame, engine: Engine, checkpoint: str, source: str = "edges", **trigger) -> StreamingQuery:
+    """Adds each micro-batch's edges once; parallel edges are kept.
 
-    def each(batch: DataFrame, _: int) -> None:
-        same = ["src", "dst", "relation"]
-        fresh = batch.join(engine.graph.edges.select(*same), same, "left_anti")
-        if not fresh.isEmpty():
-            engine.add_edges(fresh)
+    A batch is known by the source's name and its number, which a snapshot keeps:
+    one that is replayed after a failure, having been saved, is left out. A stream
+    with a new checkpoint folder starts a new count and needs a new source name.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        if number > engine.ingested.get(source, -1):
+            engine.add_edges(batch, {source: number})
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
