@@ -60,7 +60,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with cleaned_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
 
 
 def deleted(spark: SparkSession, path: str) -> None:
@@ -69,6 +71,12 @@ def deleted(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Removes the files of frames that saved() returned, once nothing will read them."""
+    for df in frames:
+        deleted(df.sparkSession, df._weft_path)
+
+
 def hashed_sample(df: DataFrame, by: Column, n: int) -> DataFrame:
     """At most n rows, those of least hash `by`: a threshold from the count leaves few others, so no task sends n rows to one place."""
     total = df.count()

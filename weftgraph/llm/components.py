@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.common import saved
+from weftgraph.llm.common import dropped, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,12 +20,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = saved(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    written = labels
     while True:  # labels only fall, so this ends
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))
         step = labels.join(seen, labels.node == seen.a, "left").select("node", F.least("component", "least").alias("next"), F.col("component").alias("old"))
         parent = labels.select(F.col("node").alias("p"), F.col("component").alias("pc"))
         step = step.join(parent, step.next == parent.p, "left").select("node", F.least("next", "pc").alias("component"), "old")
         step = saved(step, "labels")
-        labels = step.select("node", "component")
+        dropped(written)
+        written, labels = step, step.select("node", "component")
         if step.where("component < old").isEmpty():
+            dropped(both)
             return labels

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import RowNumbers, chunks, hashed_sample, joined_spread, picked, record_batch, saved, text_bytes
+from weftgraph.llm.common import RowNumbers, chunks, dropped, hashed_sample, joined_spread, picked, record_batch, saved, text_bytes
 from weftgraph.llm.components import connected_components
 
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
@@ -355,11 +355,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_column:
     return joined_spread(rows, linked, "fp").select("doc_id", "fp", "component_id")
 
 
-def _similar(source: DataFrame, width: int, similarity: float, slack: float, shard_rows: int, exact_rows: int, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows, nodes) of source (columns of any name, then __id and __text); text: a written column with the text's bytes.
+def _similar(source: DataFrame, width: int, similarity: float, slack: float, shard_rows: int, exact_rows: int, text: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, classes) of source (columns of any name, then __id and __text); text: a written column with the text's bytes.
 
     rows: source with __row (a number) and __node (a hash of the text's shingle
-    set), written once. nodes: node, component (the least node of its class),
+    set), written once. nodes: a row for each node, written as well. classes: node, component (the least node of its class),
     first (the least id of the node with its row: struct missing, id, row).
     """
     spark = source.sparkSession
@@ -405,6 +405,7 @@ def _similar(source: DataFrame, width: int, similarity: float, slack: float, sha
     tasks = int(max(spark.sparkContext.defaultParallelism, -(-copies // 100_000)))
     cells = dealt(met, shard_rows, tasks).join(nodes.select("node", "n", "hist", "sig"), "node")
     coarse = connected_components(cells.groupBy("task").applyInPandas(lambda pdf: likely_links(pdf, similarity, similarity - slack), "a long, b long"))
+    dropped(met)
     # one text for each node of a coarse class; copies are left out before the shuffle
     members = coarse.select("node", F.col("component").alias("key"))
     sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")), "class_sizes")
@@ -413,7 +414,7 @@ def _similar(source: DataFrame, width: int, similarity: float, slack: float, sha
     cells = dealt(joined_spread(members, sizes, "key"), exact_rows, tasks_for(sizes, exact_rows, 1_000)).join(texts, "node")
     classes = connected_components(cells.groupBy("task").applyInPandas(lambda pdf: exact_links(pdf, width, similarity), "a long, b long"))
     classes = nodes.join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    return rows, classes
+    return rows, nodes, classes
 
 
 def similar_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack: float = 0.22, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 20_000, exact_rows: int = 2_000) -> DataFrame:
@@ -430,7 +431,7 @@ def similar_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, sla
     empty tables: as in near_duplicates.
     """
     source = docs.select(F.col(id_column).alias("__id"), text_bytes(text_column).alias("__text"))
-    rows, classes = _similar(source, width, similarity, slack, shard_rows, exact_rows, F.col("__text"))
+    rows, _, classes = _similar(source, width, similarity, slack, shard_rows, exact_rows, F.col("__text"))
     ids = classes.groupBy("component").agg(F.min("first").alias("least"))
     linked = classes.join(ids, "component").select("node", F.col("least.id").alias("component_id"))
     return joined_spread(rows.select(F.col("__id").alias("doc_id"), F.col("__node").alias("node")), linked, "node").select("doc_id", "component_id")
@@ -445,6 +446,7 @@ def without_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, sla
     """
     names = docs.columns
     source = docs.select(*names, F.col(id_column).alias("__id"), text_bytes(text_column).alias("__text"))
-    rows, classes = _similar(source, width, similarity, slack, shard_rows, exact_rows, text_bytes(text_column))
-    stay = classes.groupBy("component").agg(F.min("first").alias("least")).select(F.col("least.row").alias("__row"))
+    rows, nodes, classes = _similar(source, width, similarity, slack, shard_rows, exact_rows, text_bytes(text_column))
+    stay = saved(classes.groupBy("component").agg(F.min("first").alias("least")).select(F.col("least.row").alias("__row")), "rows_that_stay")
+    dropped(nodes)
     return rows.select(*names, "__row").join(stay, "__row", "left_semi").select(*names)
