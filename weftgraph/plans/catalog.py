@@ -203,7 +203,7 @@ def _sq8_all(name: str, metric: Metric, score: str, way: str) -> None:
     )(run)
 
 
-_sq8_all("sq8_cosine_knn_all", Metric.COSINE, "list_dot_product(q, data::double[]) * scale::double / (sqrt(list_dot_product(q, q)) * norm::double)", "desc")
+_sq8_all("sq8_cosine_knn_all", Metric.COSINE, "least(1.0, greatest(-1.0, list_dot_product(q, data::double[]) * scale::double / (sqrt(list_dot_product(q, q)) * norm::double)))", "desc")
 _sq8_all("sq8_dot_knn_all", Metric.DOT, "list_dot_product(q, data::double[]) * scale::double", "desc")
 
 
@@ -614,7 +614,7 @@ def graph_file_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_file_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file's length by its layout, and whether the checksum in its header is that of its bytes."""
     path = _file(spark, sf_dir)
-    stored = spark.read.format("binaryFile").load(path).select(F.conv(F.hex(F.reverse(F.expr(f"substring(content, {graph_file.CHECKSUM_AT + 1}, 4)"))), 16, 10).cast("long").alias("stored"))
+    stored = spark.read.format("binaryFile").load(path).select(F.conv(F.concat(*[F.hex(F.expr(f"substring(content, {graph_file.CHECKSUM_AT + i}, 1)")) for i in (4, 3, 2, 1)]), 16, 10).cast("long").alias("stored"))
     return graph_file.file_checksums(spark, path).join(stored, F.lit(True)).select("length", (F.col("checksum") == F.col("stored")).alias("sound"))
 
 
