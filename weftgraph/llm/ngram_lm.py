@@ -208,16 +208,17 @@ def _shard(pdf: pd.DataFrame, top: bool) -> pd.DataFrame:
     # the arrays go to a file that is mapped for the look-ups
     with tempfile.TemporaryDirectory() as folder:
         mapped = []
-        for j, a in enumerate([names, *sums, owner]):
+        for j, a in enumerate([names.astype("<u8"), *map(narrow, sums), narrow(owner)]):
             path = os.path.join(folder, str(j))
-            a.astype("<u8").tofile(path)
-            mapped.append(np.memmap(path, "<u8", "r"))
+            a.tofile(path)
+            mapped.append(np.memmap(path, a.dtype, "r"))
+        del a
         names, sums, owner = mapped[0], mapped[1:-1], mapped[-1]  # what was in memory goes
         out = []
         for i, (chunk, own) in enumerate(zip(pdf["chunk"], keys, strict=True)):
             at = np.searchsorted(names, own)
             columns = [squeezed(narrow(np.asarray(c[at]))) for c in sums]
-            out.append({"shard": int(pdf["shard"].iloc[0]), "chunk": chunk, "keys": None, "columns": [*columns, squeezed((np.asarray(owner[at]) == i).astype(np.uint8))], "stats": None})
+            out.append({"shard": int(pdf["shard"].iloc[0]), "chunk": chunk, "keys": None, "columns": [*columns, squeezed((owner[at].astype(np.int64) == i).astype(np.uint8))], "stats": None})
         count = sums[0]
         classes = np.bincount(np.minimum(count, 5).astype(np.int64), minlength=6)
         stats = [float(classes[i]) for i in (1, 2, 3, 4)] + [float(count.sum()), float((count > 0).sum()), float((count > 2).sum())]
