@@ -59,7 +59,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     with cleaned_shuffles(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")  # texts take a quarter less than by the default
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out
