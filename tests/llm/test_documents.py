@@ -346,6 +346,19 @@ def test_hot_keys_are_spread(spark):
     assert len(got) == want and all(r.value == 2 * r.key for r in got)
 
 
+@pytest.mark.parametrize("most", [100, 0])
+def test_among_numbers(spark, most):
+    """By bitmaps and by the semi join: numbers at the ends of a bitmap, far apart, repeated, none, and rows without a number."""
+    near = [0, 1, 7, 8, 9, 32767, 32768, 32769, 65536]
+    numbers = [b + n for b in (0, 1 << 36, 5 << 36) for n in near]
+    rows = spark.createDataFrame([(n, str(n)) for n in [*numbers, *numbers, None]], "__row long, text string")
+    for chosen in (numbers, numbers[::2], numbers[1::2] * 2, numbers[3:4], []):
+        side = spark.createDataFrame([(n, "x") for n in chosen], "__row long, text string")
+        got = common.among(rows, side, "__row", most)
+        assert got.columns == rows.columns
+        assert sorted(map(tuple, got.collect())) == sorted((n, str(n)) for n in set(chosen) for _ in range(2))
+
+
 def test_similar_copies(spark):
     rnd = random.Random(10)
     rows, groups = [], []

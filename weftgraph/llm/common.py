@@ -113,6 +113,27 @@ def joined_spread(rows: DataFrame, side: DataFrame, key: str, least: int = 100_0
     return rows.join(F.broadcast(side.join(keys, key, "left_semi")), key).unionByName(rows.join(keys, key, "left_anti").join(side, key))
 
 
+#: Bitmaps (4 KB for 32,768 numbers) that go to all tasks at most: 64 MB, for numbers of some 500 million rows.
+BROADCAST_MAPS = 16_384
+
+
+def among(rows: DataFrame, numbers: DataFrame, key: str, most: int = BROADCAST_MAPS) -> DataFrame:
+    """The rows whose number `key` is among `numbers` (a column of that name, without nulls); rows without a number go.
+
+    The numbers become bitmaps, one for each range that holds some. While there are
+    at most `most` of them all tasks get them and no row is shuffled; beyond that
+    the rows meet the numbers in a semi join.
+    """
+    where = F.bitmap_bucket_number(F.col(key)).alias("__weft_map")
+    maps = saved(numbers.groupBy(where).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(key))).alias("__weft_bits")), "numbers")
+    if maps.count() > most:
+        return rows.join(numbers.select(key), key, "left_semi")
+    at = f"bitmap_bit_position(`{key}`)"
+    byte = f"cast(conv(hex(substring(__weft_bits, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)"
+    found = rows.select("*", where).join(F.broadcast(maps), "__weft_map").where(F.expr(f"getbit({byte}, cast({at} % 8 as int)) = 1"))
+    return found.drop("__weft_map", "__weft_bits")
+
+
 def text_bytes(column: str | Column = "text") -> Column:
     """Null texts are empty; Python gets UTF-8 bytes and decodes only what it must."""
     col = F.col(column) if isinstance(column, str) else column

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import RowNumbers, chunks, dropped, hashed_sample, joined_spread, picked, record_batch, saved, text_bytes
+from weftgraph.llm.common import RowNumbers, among, chunks, dropped, hashed_sample, joined_spread, picked, record_batch, saved, text_bytes
 from weftgraph.llm.components import connected_components
 
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
@@ -406,12 +406,12 @@ def _similar(source: DataFrame, width: int, similarity: float, slack: float, sha
     cells = dealt(met, shard_rows, tasks).join(nodes.select("node", "n", "hist", "sig"), "node")
     coarse = connected_components(cells.groupBy("task").applyInPandas(lambda pdf: likely_links(pdf, similarity, similarity - slack), "a long, b long"))
     dropped(met)
-    # one text for each node of a coarse class; copies are left out before the shuffle
+    # one text for each node of a coarse class; the others are left out before the shuffle
     members = coarse.select("node", F.col("component").alias("key"))
     sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")), "class_sizes")
-    of = nodes.select("node", "n", F.col("first.row").alias("__row")).join(members.select("node"), "node")
-    texts = rows.select("__row", text.alias("text")).join(of, "__row").select("node", "n", "text")
-    cells = dealt(joined_spread(members, sizes, "key"), exact_rows, tasks_for(sizes, exact_rows, 1_000)).join(texts, "node")
+    of = saved(nodes.select("node", "n", F.col("first.row").alias("__row")).join(members.select("node"), "node"), "class_rows")
+    texts = among(rows.select("__row", text.alias("text")), of, "__row")
+    cells = dealt(joined_spread(members, sizes, "key"), exact_rows, tasks_for(sizes, exact_rows, 1_000)).join(of, "node").join(texts, "__row").drop("__row")
     classes = connected_components(cells.groupBy("task").applyInPandas(lambda pdf: exact_links(pdf, width, similarity), "a long, b long"))
     classes = nodes.join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     return rows, nodes, classes
@@ -442,11 +442,12 @@ def without_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, sla
 
     Rows are judged by their texts, never by their ids: rows that share an id and
     differ in text stay both. Null and wordless texts are one class. The rows are
-    numbered and written once; the texts meet the numbers that stay in one join.
+    numbered and written once; bitmaps of the numbers that stay go to the texts, which
+    are shuffled only where those are too many (see among).
     """
     names = docs.columns
     source = docs.select(*names, F.col(id_column).alias("__id"), text_bytes(text_column).alias("__text"))
     rows, nodes, classes = _similar(source, width, similarity, slack, shard_rows, exact_rows, text_bytes(text_column))
     stay = saved(classes.groupBy("component").agg(F.min("first").alias("least")).select(F.col("least.row").alias("__row")), "rows_that_stay")
     dropped(nodes)
-    return rows.select(*names, "__row").join(stay, "__row", "left_semi").select(*names)
+    return among(rows.select(*names, "__row"), stay, "__row").select(*names)
