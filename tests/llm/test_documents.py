@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -398,6 +399,54 @@ def test_similar_copies_are_exact(spark, length, pairs):
         assert {i: got[i] for i in want} == want
 
 
+def test_wide_fingerprints_stay_within_the_radius():
+    """Sets at a similarity of 0.8, small and large, of one size and nested; others are far apart."""
+    rng = np.random.default_rng(12)
+    radius = simhash.radius_for(0.8)
+    assert radius < 100 and simhash.radius_for(1.0) == 0
+    words = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    fp = lambda h: np.frombuffer(simhash.wide_fingerprint(np.unique(h)), np.uint64)[None]
+    far = []
+    for shared, a, b in [(4, 0, 1), (8, 1, 1), (20, 0, 5), (80, 10, 10), (400, 0, 100), (4000, 500, 500)]:
+        for _ in range(200 if shared < 1000 else 20):
+            both = words(shared)
+            far.append(simhash.distance(fp(np.concatenate([both, words(a)])), fp(np.concatenate([both, words(b)])))[0])
+            assert simhash.distance(fp(both), fp(words(shared)))[0] > 80
+    assert 45 < max(far) <= radius
+    assert simhash.wide_fingerprint(words(0)) == bytes(8 * simhash.WORDS)
+
+
+@pytest.mark.parametrize("visits", [1 << 19, 50])
+def test_likely_links_come_from_the_trees_of_fingerprints(monkeypatch, visits):
+    """Cells beside plain loops, where sizes and histograms let all pairs pass; of two parts of a cell every link between them is found."""
+    within, radius = simhash.BKForest.within, simhash.radius_for(0.8)
+    monkeypatch.setattr(simhash.BKForest, "within", lambda *a, **k: within(*a, **k, visits=visits))
+    rng = np.random.default_rng(13)
+    fps, rows = [], []
+    for node in range(150):
+        fp = fps[rng.integers(node)].copy() if node and rng.random() < 0.7 else rng.integers(0, 1 << 64, simhash.WORDS, dtype=np.uint64)
+        for bit in rng.choice(256, rng.choice([0, 40, radius, radius + 1]), replace=False):
+            fp[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        fps.append(fp)
+        rows += [(cell, int(rng.integers(2)) if cell % 2 else 0, node, 9, fp.tobytes(), bytes([9] + [0] * 63), None) for cell in rng.choice(6, 2, replace=False)]
+    cells = pd.DataFrame(rows, columns=["cell", "side", "node", "n", "fp", "hist", "sig"])
+
+    def classes(pairs):
+        label = list(range(150))
+        while any(label[a] != label[b] for a, b in pairs):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    near = lambda a, b: sum(int(x ^ y).bit_count() for x, y in zip(fps[a], fps[b], strict=True)) <= radius
+    whole = [(r[2], q[2]) for r in rows for q in rows if r[0] == q[0] and r[0] % 2 == 0 and near(r[2], q[2])]
+    across = [(r[2], q[2]) for r in rows for q in rows if r[0] == q[0] and r[1] != q[1] and near(r[2], q[2])]
+    links = lambda df: list(simhash.likely_links(df, 0.8, 0.58).itertuples(index=False, name=None))
+    assert classes(links(cells[cells["cell"] % 2 == 0])) == classes(whole) and 20 < len(set(classes(whole))) < 150
+    got = classes(links(cells))
+    assert all(got[a] == got[b] for a, b in whole + across) and all(any(near(a, b) for b in range(150) if b != a and got[b] == got[a]) for a in range(150) if got[a] != a)
+
+
 def test_rows_are_judged_by_their_texts(spark):
     """Rows that share an id and differ stay; of a class one row stays, whatever repeats."""
     rnd = random.Random(3)
