@@ -67,15 +67,20 @@ def distance_or_similarity(metric: Metric, a: Column, b: Column) -> Column:
 def sq8_quantize(v: Column) -> Column:
     """struct(data array<tinyint>, scale, norm): scale is the largest magnitude / 127; the norm stays the original's."""
     top = F.coalesce(F.array_max(F.transform(_double(v), lambda x: F.abs(x))), F.lit(0.0))
-    small = top < TINY
-    # round() takes halves away from zero; cut before the narrow cast
-    codes = F.transform(_double(v), lambda x: clamp(F.round(x * 127.0 / F.when(small, F.lit(1.0)).otherwise(top)), -127.0, 127.0).cast("tinyint"))
-    zeros = F.transform(v, lambda x: F.lit(0).cast("tinyint"))
-    return F.struct(
-        F.when(small, zeros).otherwise(codes).alias("data"),
-        F.when(small, F.lit(0.0)).otherwise(top / 127.0).cast("float").alias("scale"),
-        F.when(small, F.lit(0.0)).otherwise(norm(v)).cast("float").alias("norm"),
-    )
+
+    def coded(top: Column) -> Column:
+        small = top < TINY
+        # round() takes halves away from zero; cut before the narrow cast
+        codes = F.transform(_double(v), lambda x: clamp(F.round(x * 127.0 / F.when(small, F.lit(1.0)).otherwise(top)), -127.0, 127.0).cast("tinyint"))
+        zeros = F.transform(v, lambda x: F.lit(0).cast("tinyint"))
+        return F.struct(
+            F.when(small, zeros).otherwise(codes).alias("data"),
+            F.when(small, F.lit(0.0)).otherwise(top / 127.0).cast("float").alias("scale"),
+            F.when(small, F.lit(0.0)).otherwise(norm(v)).cast("float").alias("norm"),
+        )
+
+    # an array of one: within the lambda the largest magnitude has a name, and is not found again for each component
+    return F.transform(F.array(top), coded)[0]
 
 
 def sq8_dequantize(q: Column) -> Column:

@@ -65,6 +65,20 @@ def _row_keys(*parts: np.ndarray) -> np.ndarray:
     return whole.view(np.dtype((np.void, whole.shape[1]))).ravel()
 
 
+def fewer_copies(k: int, ids: np.ndarray, x: np.ndarray, scale: np.ndarray | None = None, norm: np.ndarray | None = None) -> tuple[np.ndarray | None, ...]:
+    """Of equal vectors the k with the smallest ids; no others can be among the k best."""
+    if not len(ids) or not x.shape[1]:
+        return ids, x, scale, norm
+    _, same = np.unique(_row_keys(x, *(p for p in (scale, norm) if p is not None)), return_inverse=True)
+    if same.max() + 1 == len(x):
+        return ids, x, scale, norm
+    order = np.lexsort((ids, same))
+    starts = np.flatnonzero(np.r_[True, np.diff(same[order]) > 0])
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    keep = np.sort(order[place < k])
+    return tuple(None if p is None else p[keep] for p in (ids, x, scale, norm))
+
+
 @dataclass
 class Batch:
     """Vectors made ready for products: of equal ones only as many as can be wanted."""
@@ -78,16 +92,10 @@ class Batch:
     top: float
 
     @classmethod
-    def of(cls, metric: Metric, k: int, ids: np.ndarray, x: np.ndarray, scale: np.ndarray | None = None, norm: np.ndarray | None = None) -> Batch:
+    def of(cls, metric: Metric, k: int, ids: np.ndarray, x: np.ndarray, scale: np.ndarray | None = None, norm: np.ndarray | None = None, fewer: bool = True) -> Batch:
         """scale, norm: those of eight-bit codes in x."""
-        parts = [x, *(p for p in (scale, norm) if p is not None)]
-        _, same = np.unique(_row_keys(*parts), return_inverse=True) if x.shape[1] else (None, np.zeros(len(x), np.int64))
-        if len(x) and same.max() + 1 < len(x):
-            order = np.lexsort((ids, same))
-            starts = np.flatnonzero(np.r_[True, np.diff(same[order]) > 0])
-            place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-            keep = np.sort(order[place < k])
-            ids, x, scale, norm = ids[keep], x[keep], None if scale is None else scale[keep], None if norm is None else norm[keep]
+        if fewer:
+            ids, x, scale, norm = fewer_copies(k, ids, x, scale, norm)
         y = np.asarray(x, np.float64)
         if scale is not None:
             y = y * scale[:, None]

@@ -9,14 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.functions.vectors import TINY, distance_or_similarity, sq8_dequantize, sq8_metric
+from weftgraph.functions.vectors import distance_or_similarity, sq8_dequantize, sq8_metric
+from weftgraph.operators.best import Batch, Best, fewer_copies
 from weftgraph.plans.config import DimensionMismatch, Metric
 
 #: Above so many queries columns give way to matrix products.
 COLUMN_QUERIES = 16
-#: Query vectors go to all tasks up to so many components in all (64 MB of doubles).
+#: Query vectors go to all tasks up to so many components in all (64 MB of doubles), and up to as many as a block has.
 BROADCAST_COMPONENTS = 8_000_000
-SHARD_VECTORS, BLOCK_QUERIES = 100_000, 4096
+#: Both sides of a cell at most; fewer where vectors are long.
+SHARD_VECTORS, BLOCK_QUERIES, SHARD_COMPONENTS, BLOCK_COMPONENTS = 65_536, 16_384, 16_000_000, 4_000_000
+_FOUND = "query_id long, node_id long, score double"
 
 
 def top_k(df: DataFrame, group: list[str], k: int, score: str, ascending: bool = False, tie: str = "node_id", rank: str = "pos") -> DataFrame:
@@ -30,31 +33,67 @@ def min_score(df: DataFrame, group: list[str], score: str = "score") -> DataFram
     return df.groupBy(*group).agg(F.min(score).alias("min_score"))
 
 
-def scores_of(metric: Metric, q: np.ndarray, x: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
-    """(queries, vectors) in double. norms: those of the original vectors, where x has what their codes give back."""
-    if metric in (Metric.COSINE, Metric.DOT):
-        out = q @ x.T
-        if metric is Metric.COSINE:
-            size = np.sqrt((q * q).sum(1))[:, None] * (np.sqrt((x * x).sum(1)) if norms is None else norms)[None, :]
-            out = np.where(size < TINY, 0.0, np.clip(out / np.where(size < TINY, 1.0, size), -1.0, 1.0))
-        return out
-    if metric is Metric.EUCLIDEAN:
-        return np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
-    return np.stack([np.abs(x - v).sum(1) for v in q])
+def _matrix(series: pd.Series) -> np.ndarray:
+    return np.array(series.tolist())
 
 
-def _best(metric: Metric, query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, norms: np.ndarray | None = None) -> pd.DataFrame:
-    out = []
-    for at in range(0, len(q), 64):
-        scores = scores_of(metric, q[at : at + 64], x, norms)
-        for i, row in enumerate(scores):
-            order = np.lexsort((ids, row if metric.is_distance else -row))[:k]
-            out.append(pd.DataFrame({"query_id": query_ids[at + i], "node_id": ids[order], "score": row[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "node_id": [], "score": []})
+def _columns(pdf: pd.DataFrame) -> tuple[np.ndarray | None, ...]:
+    """ids, vectors or codes, and of codes scale and norm."""
+    quantized = "scale" in pdf.columns
+    return pdf["node_id"].to_numpy(), _matrix(pdf["embedding"]), *((pdf[c].to_numpy(np.float64) if quantized else None) for c in ("scale", "norm"))
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    return np.array(series.tolist(), np.float64)
+def _rows(query_ids: np.ndarray, best: Best) -> pd.DataFrame:
+    row, ids, scores = best.found()
+    return pd.DataFrame({"query_id": query_ids[row], "node_id": ids, "score": scores})
+
+
+def _streamed(vectors: DataFrame, query_ids: np.ndarray, q: np.ndarray, k: int, metric: Metric) -> DataFrame:
+    """All queries go to all tasks; each keeps k rows a query over all that it reads."""
+    sent = vectors.sparkSession.sparkContext.broadcast((query_ids, q))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, asked = sent.value
+        best = Best(metric, asked, k)
+        for pdf in batches:
+            if len(pdf):
+                best.see(Batch.of(metric, k, *_columns(pdf)))
+        yield _rows(names, best)
+
+    return vectors.mapInPandas(run, _FOUND)
+
+
+def _in_cells(vectors: DataFrame, keys: DataFrame, k: int, metric: Metric, asked: int, dim: int) -> DataFrame:
+    """Both sides are packed, a row for each shard of vectors and block of queries; every pair of these meets in one task."""
+    n, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-n // min(SHARD_VECTORS, max(1024, SHARD_COMPONENTS // dim))))
+    blocks = -(-asked // min(BLOCK_QUERIES, max(1024, BLOCK_COMPONENTS // dim)))
+    blocks = max(blocks, min(-(-3 * cores // shards), -(-asked // 1024)))
+
+    def of_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x, scale, norm = fewer_copies(k, *_columns(pdf))
+        parts = {"ids": ids.astype(np.int64), "x": x, "scale": scale, "norm": norm}
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "kind": [x.dtype.str], **{c: [None if v is None else v.tobytes()] for c, v in parts.items()}})
+
+    def of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "query_ids": [pdf["query_id"].to_numpy(np.int64).tobytes()], "q": [_matrix(pdf["q"]).astype(np.float64).tobytes()]})
+
+    def meet(own: pd.DataFrame, against: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(against):
+            return pd.DataFrame({"query_id": [], "node_id": [], "score": []})
+        v, a = own.iloc[0], against.iloc[0]
+        ids, query_ids = np.frombuffer(v["ids"], np.int64), np.frombuffer(a["query_ids"], np.int64)
+        scale, norm = (None if v[c] is None else np.frombuffer(v[c], np.float64) for c in ("scale", "norm"))
+        best = Best(metric, np.frombuffer(a["q"], np.float64).reshape(len(query_ids), -1), k)
+        best.see(Batch.of(metric, k, ids, np.frombuffer(v["x"], v["kind"]).reshape(len(ids), -1), scale, norm, fewer=False))
+        return _rows(query_ids, best)
+
+    spread = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+    left = vectors.withColumn("shard", F.pmod(F.xxhash64("node_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(of_shard, "shard int, kind string, ids binary, x binary, scale binary, norm binary")
+    right = keys.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(of_block, "block int, query_ids binary, q binary")
+    left = left.select("*", spread("block", blocks)).repartition(shards * blocks, "shard", "block")
+    right = right.select("*", spread("shard", shards)).repartition(shards * blocks, "shard", "block")
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, _FOUND)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.COSINE, dim: int | None = None) -> DataFrame:
@@ -64,9 +103,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.
     query_id, embedding. The number of queries is counted first: few are compared
     as columns, more as matrix products with the queries sent to all tasks (each
     task keeps k of its own per query before the shuffle), and beyond the size
-    bound both sides are dealt into blocks that meet by an equi-join. Distances
-    ascend, similarities descend; ties go to the smaller node_id. Eight-bit cosines
-    go by the norm of the original vector whatever the number of queries.
+    bound both sides are dealt into packed cells that meet by an equi-join. All
+    pairs are compared, so time grows with queries times vectors; memory of a task
+    does not. Distances ascend, similarities descend; ties go to the smaller
+    node_id. Eight-bit cosines go by the norm of the original vector whatever the
+    number of queries.
     """
     quantized = vectors.schema["embedding"].dataType.typeName() == "struct"
     facts = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("most"), F.min(F.size("embedding")).alias("least")).first()
@@ -80,36 +121,13 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.
         score = sq8_metric(metric, F.col("q"), F.col("embedding")) if quantized else distance_or_similarity(metric, F.col("q"), F.col("embedding"))
         found = pair.select("query_id", "node_id", score.alias("score"))
         return top_k(found, ["query_id"], k, "score", metric.is_distance)
-    norms = lambda pdf: pdf["norm"].to_numpy(np.float64) if quantized else None
     if quantized and metric in (Metric.COSINE, Metric.DOT):
-        # codes times scale in double, and the norm of the original vector, as the columns have them
-        scale = F.col("embedding.scale").cast("double")
-        vectors = vectors.select("node_id", F.transform("embedding.data", lambda x: x.cast("double") * scale).alias("v"), F.col("embedding.norm").alias("norm")).withColumnRenamed("v", "embedding")
-    elif quantized:
-        vectors = vectors.select("node_id", sq8_dequantize(F.col("embedding")).alias("embedding"), F.col("embedding.norm").alias("norm"))
+        vectors = vectors.select("node_id", F.col("embedding.data").alias("codes"), F.col("embedding.scale").cast("double").alias("scale"), F.col("embedding.norm").cast("double").alias("norm")).withColumnRenamed("codes", "embedding")
     else:
-        vectors = vectors.select("node_id", "embedding")
-    if facts.n * facts.most <= BROADCAST_COMPONENTS:
+        vectors = vectors.select("node_id", (sq8_dequantize(F.col("embedding")) if quantized else F.col("embedding")).alias("embedding"))
+    if facts.n <= BLOCK_QUERIES and facts.n * facts.most <= BROADCAST_COMPONENTS:
         rows = keys.collect()
-        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([r.q for r in rows], np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for pdf in batches:
-                if len(pdf):
-                    yield _best(metric, ids, q, pdf["node_id"].to_numpy(), _matrix(pdf["embedding"]), k, norms(pdf))
-
-        found = vectors.mapInPandas(run, "query_id long, node_id long, score double")
-        return top_k(found, ["query_id"], k, "score", metric.is_distance)
-    n = vectors.count()
-    shards, blocks = -(-n // SHARD_VECTORS), -(-facts.n // BLOCK_QUERIES)
-    left = vectors.select(F.pmod(F.xxhash64("node_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *vectors.columns)
-    right = keys.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "q")
-
-    def meet(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asked):
-            return pd.DataFrame({"query_id": [], "node_id": [], "score": []})
-        return _best(metric, asked["query_id"].to_numpy(), _matrix(asked["q"]), own["node_id"].to_numpy(), _matrix(own["embedding"]), k, norms(own))
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, "query_id long, node_id long, score double")
+        found = _streamed(vectors, np.array([r.query_id for r in rows]), np.array([r.q for r in rows], np.float64), k, metric)
+    else:
+        found = _in_cells(vectors, keys, k, metric, facts.n, max(1, facts.most))
     return top_k(found, ["query_id"], k, "score", metric.is_distance)
