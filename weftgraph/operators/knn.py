@@ -63,6 +63,11 @@ def _streamed(vectors: DataFrame, query_ids: np.ndarray, q: np.ndarray, k: int,
     return vectors.mapInPandas(run, _FOUND)
 
 
+def search_all(vectors: DataFrame, query_ids: np.ndarray, q: np.ndarray, k: int, metric: Metric) -> DataFrame:
+    """As `knn`, for a bounded number of queries that the driver holds."""
+    return top_k(_streamed(vectors, query_ids, q, k, metric), ["query_id"], k, "score", metric.is_distance)
+
+
 def _in_cells(vectors: DataFrame, keys: DataFrame, k: int, metric: Metric, asked: int, dim: int) -> DataFrame:
     """Both sides are packed, a row for each shard of vectors and block of queries; every pair of these meets in one task."""
     n, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
